@@ -52,7 +52,8 @@ def stream_state(arrivals_path: str, schema, spark, batches: int = 2) -> DataFra
     """Runs the stream over the stored arrivals and returns digest, keep and group_size."""
     state, out = scratch_path(spark, "dedup-state"), scratch_path(spark, "dedup-groups")
     files = len(spark.read.schema(schema).parquet(arrivals_path).inputFiles())
-    keys = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256"}
+    # An open store sets 4 MB of disk aside for its list of files, so each is closed again as soon as its batch is written.
+    keys = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256", "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
     before = {k: spark.conf.get(k, None) for k in keys}
     for k, v in keys.items():
         spark.conf.set(k, v)
