@@ -109,38 +109,29 @@ def gram_counts(docs: DataFrame, shared, order: int, longest: int) -> DataFrame:
 
 
 def exploded(docs: DataFrame, shared, heavy, order: int) -> DataFrame:
-    """doc_id, gram, times of the n-grams that are not heavy; with gram null, a document's words and its heavy score."""
+    """doc_id, gram, x: an n-gram that isn't heavy, and how often the document has it.
+
+    Two rows more carry a document's number of words (an odd negative gram) and the score of its heavy n-grams (an even
+    one). Their grams are spread below all real ones, so that they meet nothing in the join and are no hot key."""
 
     def explode(batches):
         known, score = heavy.value
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for first in range(0, len(texts), 64):
-                doc, gram, times, words, part = [], [], [], [], []
-                for doc_id, text in zip(ids[first : first + 64], texts[first : first + 64]):
+                doc, gram, x = [], [], []
+                for k, (doc_id, text) in enumerate(zip(ids[first : first + 64], texts[first : first + 64])):
                     every = grams(shared.value.encode(text, order), order, order)
                     unique, n = np.unique(every, return_counts=True)
                     at = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
                     hit = known[at] == unique if len(known) else np.zeros(len(unique), bool)
-                    rest = ~hit
-                    doc += [doc_id] * (int(rest.sum()) + 1)
-                    gram += [unique[rest]]
-                    times += [n[rest]]
-                    words.append(len(every))
-                    part.append(float((score[at[hit]] * n[hit]).sum()))
-                counts = [len(g) for g in gram]
-                total = sum(counts) + len(counts)
-                g, t, w, s = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total)
-                null = np.zeros(total, bool)
-                at = 0
-                for k, c in enumerate(counts):
-                    g[at : at + c], t[at : at + c] = gram[k], times[k]
-                    at += c
-                    null[at], w[at], s[at] = True, words[k], part[k]
-                    at += 1
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "gram": pa.array(g, pa.int64(), mask=null), "times": pa.array(t, pa.int64()), "n_words": pa.array(w, pa.int64()), "part": pa.array(s, pa.float64())})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(explode, "doc_id long, gram long, times long, n_words long, part double")
+                    spread = ((k if doc_id is None else doc_id) * 0x9E3779B1) % (1 << 40)
+                    doc += [doc_id] * (int((~hit).sum()) + 2)
+                    gram += [unique[~hit], np.array([-2 * spread - 1, -2 * spread - 2])]
+                    x += [n[~hit], np.array([len(every), (score[at[hit]] * n[hit]).sum()])]
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "gram": pa.array(np.concatenate(gram).astype(np.int64)), "x": pa.array(np.concatenate(x).astype(np.float64))})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(explode, "doc_id long, gram long, x double")
 
 
 def score(docs: DataFrame, *, order: int = 2, vocabulary: int = 1 << 16, least: int = 2, alpha: float = ALPHA, heavy_share: float = HEAVY_SHARE) -> DataFrame:
@@ -176,16 +167,16 @@ def score(docs: DataFrame, *, order: int = 2, vocabulary: int = 1 << 16, least:
     by = np.argsort(heavy.column("gram").to_numpy())
     pair = spark.sparkContext.broadcast((heavy.column("gram").to_numpy()[by], heavy.column("s").to_numpy()[by]))
     rows = exploded(docs, shared, pair, order)
-    # A row without an n-gram meets nothing; so that null is no hot key, it gets a spread one below all ids.
-    rows = rows.withColumn("key", F.coalesce("gram", -1 - F.pmod(F.xxhash64("doc_id", "part"), F.lit(1 << 40))))
-    hits = rows.join(scored[order].select(F.col("gram").alias("key"), F.col("s").alias("hit")), "key", "left")
-    log_a = math.log(alpha)
+    hits = rows.join(scored[order].select("gram", F.col("s").alias("hit")), "gram", "left")
+    log_a, real = math.log(alpha), F.col("gram") >= 0
     if order == 3:
-        short = F.when(F.col("hit").isNull() & F.col("gram").isNotNull(), F.col("gram").bitwiseAND((1 << 2 * ID_BITS) - 1)).otherwise(-1 - F.pmod(F.xxhash64("doc_id", "key"), F.lit(1 << 40)))
-        hits = hits.withColumn("key2", short).join(scored[2].select(F.col("gram").alias("key2"), F.col("s").alias("hit2")), "key2", "left")
+        # What needs no shorter n-gram is spread below all of them.
+        short = F.when(F.col("hit").isNull() & real, F.col("gram").bitwiseAND((1 << 2 * ID_BITS) - 1)).otherwise(-1 - F.pmod(F.xxhash64("doc_id", "gram"), F.lit(1 << 40)))
+        hits = hits.withColumn("short", short).join(scored[2].select(F.col("gram").alias("short"), F.col("s").alias("hit2")), "short", "left")
         hits = hits.withColumn("hit", F.coalesce("hit", F.col("hit2") + log_a))
-    hits = hits.withColumn("id", F.coalesce(F.col("gram").bitwiseAND(mask), F.lit(0))).join(F.broadcast(singles.select("id", "log_1")), "id")
+    hits = hits.withColumn("id", F.when(real, F.col("gram").bitwiseAND(mask)).otherwise(0)).join(F.broadcast(singles.select("id", "log_1")), "id")
     value = F.coalesce(F.col("hit"), F.col("log_1") + (order - 1) * log_a)
-    part = F.when(F.col("gram").isNull(), F.col("part")).otherwise(F.col("times") * value)
-    out = hits.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum(part).alias("log_score"))
+    part = F.when(real, F.col("x") * value).when(F.col("gram") % 2 == 0, F.col("x")).otherwise(0.0)
+    words_of = F.when(~real & (F.col("gram") % 2 != 0), F.col("x").cast("long")).otherwise(0)
+    out = hits.groupBy("doc_id").agg(F.sum(words_of).alias("n_words"), F.sum(part).alias("log_score"))
     return out.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log"))

@@ -2,9 +2,10 @@
 
 Documents are turned into token ids and an end id; only those longer than a sequence are cut. Pieces are dealt by a hash
 to shards of a few thousand, and each shard is packed by itself: longest piece first, every piece goes to the open
-sequence (or a new one) for which the sum over residual gaps of the squared number of open sequences with that gap
-becomes smallest; ties go to the smallest gap, and an open sequence wins over a new one. After that the sequence with the
-largest gap is dissolved as long as its pieces fit the gaps of others. A shard's waste is a sequence or two, so shards
+sequence for which the sum over residual gaps of the squared number of open sequences with that gap becomes smallest;
+ties go to the smallest gap. A new sequence is opened only for a piece that fits no open one: the rule for unknown future
+pieces would also open one when that keeps the sum smaller, which with all pieces at hand took up to 3% more sequences.
+After that the sequence with the largest gap is dissolved as long as its pieces fit the gaps of others. A shard's waste is a sequence or two, so shards
 cost next to nothing and the work spreads over any number of tasks.
 
 Defined results: a null text counts as empty and gives the end id alone. Repeated rows are packed each. Very long texts
@@ -137,14 +138,12 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
             count[gap[b]] += 1
 
     for i, size in enumerate(lengths.tolist()):
-        best, where = (2 * int(count[capacity - size]) + 1 if size < capacity else 0), -1
+        where = -1
         fits = np.flatnonzero(count[size:capacity]) + size
         if len(fits):
             change = 2 - 2 * count[fits] + 2 * count[fits - size]
             change[fits == size] = 1 - 2 * count[size]  # a full sequence has no gap that counts
-            k = int(change.argmin())
-            if change[k] <= best:
-                where = int(fits[k])
+            where = int(fits[change.argmin()])
         put(i, where, size)
     while True:  # dissolve the emptiest sequence while its pieces fit the gaps of others
         widest = np.flatnonzero(count)
