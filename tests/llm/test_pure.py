@@ -184,7 +184,9 @@ def test_token_ids():
     r = random.Random(6)
     pool = ["the", "The", "ÉTÉ", "don't", "a,b", "x1y2", "$$$", "<|endoftext|>", "ǅ", "é", "İ", "ΑΣ", " ", "'s", "word...", "a_b", "\x1c", "\x0b", "ﬁ"]
     for text in [*TEXTS, *(r.choice([" ", "\n", "  "]).join(r.choices(pool, k=30)) for _ in range(300)), "tail " * 300_000]:
-        assert np.frombuffer(cached.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(cached.ids(text), "<u4").tolist() == want
+        assert np.frombuffer(packing.Chunks.many(cached, ["", text])[1], "<u4").tolist() == want
 
 
 def test_targets_and_tree():
