@@ -4,7 +4,7 @@ Documents are turned into token ids and an end id; only those longer than a sequ
 to shards of a few thousand, and each shard is packed by itself: longest piece first, every piece goes to the open
 sequence for which the sum over residual gaps of the squared number of open sequences with that gap becomes smallest;
 ties go to the smallest gap. A new sequence is opened only for a piece that fits no open one: the rule for unknown future
-pieces would also open one when that keeps the sum smaller, which with all pieces at hand took up to 3% more sequences.
+pieces would also open one when that keeps the sum smaller, which with all pieces at hand took about 3% more sequences.
 After that the sequence with the largest gap is dissolved as long as its pieces fit the gaps of others. A shard's waste is a sequence or two, so shards
 cost next to nothing and the work spreads over any number of tasks.
 
