@@ -42,7 +42,7 @@ class Chunks(dict):
     The vocabulary's splitter never joins anything over white space, so stretches can be looked up one by one. Words of
     plain letters are kept apart from the marks after them, as the splitter does. Both caches are bounded."""
 
-    def __init__(self, vocabulary: str, most: int = 1_000_000) -> None:
+    def __init__(self, vocabulary: str, most: int = 1 << 18) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
