@@ -26,6 +26,8 @@ from .common import arrow_map
 
 LENGTH = 2048
 SHARD_PIECES = 8192
+#: Entries of each of a worker's two caches; about 420 MB a worker when full. 2^18 take 280 MB and more CPU time.
+CACHE = 1_000_000
 
 # A word of letters that Unicode normalisation leaves alone, and marks around it.
 _PLAIN = re.compile(r"([A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([!\"#$%&()*+,./:;<=>?@\[\\\]^_`{|}~-]*)")
@@ -42,7 +44,7 @@ class Chunks(dict):
     The vocabulary's splitter never joins anything over white space, so stretches can be looked up one by one. Words of
     plain letters are kept apart from the marks after them, as the splitter does. Both caches are bounded."""
 
-    def __init__(self, vocabulary: str, most: int = 1 << 18) -> None:
+    def __init__(self, vocabulary: str, most: int = CACHE) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -115,20 +117,20 @@ class Chunks(dict):
         return b"".join(out)
 
 
-_chunks: dict[str, Chunks] = {}
+_chunks: dict[tuple[str, int], Chunks] = {}
 
 
-def chunks(vocabulary: str) -> Chunks:
-    if vocabulary not in _chunks:
-        _chunks[vocabulary] = Chunks(vocabulary)
-    return _chunks[vocabulary]
+def chunks(vocabulary: str, most: int = CACHE) -> Chunks:
+    if (vocabulary, most) not in _chunks:
+        _chunks[vocabulary, most] = Chunks(vocabulary, most)
+    return _chunks[vocabulary, most]
 
 
-def cut(docs: DataFrame, vocabulary: str, *, length: int = LENGTH, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def cut(docs: DataFrame, vocabulary: str, *, length: int = LENGTH, end_id: int = 0, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary) of every piece."""
 
     def over(batch):
-        get = chunks(vocabulary).many
+        get = chunks(vocabulary, cache).many
         end = np.array([end_id], "<u4").tobytes()
         texts = batch.column("text").to_pylist()
         doc_ids = batch.column("doc_id").to_pylist()
@@ -227,9 +229,9 @@ def pack_pieces(pieces: DataFrame, shards: int, capacity: int = LENGTH) -> DataF
     return dealt.groupBy("_shard").applyInPandas(pack, schema)
 
 
-def pack(docs: DataFrame, vocabulary: str, *, length: int = LENGTH, shard_pieces: int = SHARD_PIECES, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, *, length: int = LENGTH, shard_pieces: int = SHARD_PIECES, end_id: int = 0, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """Pieces of all documents with their sequence and offset; ids come along if asked for."""
     rough = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("chars")).head()
     # Only the number of shards depends on this estimate: a piece for each document, and one more for each sequence of text.
     shards = max(1, round((rough["rows"] + (rough["chars"] or 0) / (3 * length)) / shard_pieces))
-    return pack_pieces(cut(docs, vocabulary, length=length, end_id=end_id, with_ids=with_ids), shards, length)
+    return pack_pieces(cut(docs, vocabulary, length=length, end_id=end_id, with_ids=with_ids, cache=cache), shards, length)
