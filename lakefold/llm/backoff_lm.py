@@ -1,12 +1,18 @@
 """Stupid-backoff scores, computed relationally.
 
 N-gram counts over all documents are a table hashed by n-gram; each document's n-grams are joined to it and the scores
-are summed per document. With c the counts and N all words, a word scores c(u w) / c(u) if the n-gram (u w) has been
-counted at least `least` times, and otherwise `alpha` times its score with a shorter history, down to c(w) / N. Logs are
-summed; `mean_log` divides by the number of words.
+are summed per document. With c the counts, a word scores c(u w) / c(u) if the n-gram (u w) has been counted, and
+otherwise `alpha` times its score with a shorter history, down to c(w) divided by all words. Logs are summed; `mean_log`
+divides by the number of words.
 
-The model's vocabulary are the `vocabulary` most frequent words (a parameter of the model, with counts taken over all
-documents); other words are the unknown word, which is counted and scored as a word. A text begins with a start sign.
+The model holds all words and all n-grams, those counted once too. N-grams are named by a 64-bit hash of their words, so
+the tables grow with the corpus and nothing of them is on the driver. As the scored documents are the counted ones, every
+n-gram of theirs has been counted: only a first word, which has one start sign before it, uses a shorter history. The log
+of a quotient is a difference, so a document's score is a sum of logs of counts, with its histories negative, and one
+join gives all of them. An n-gram that is not in the stored table, which leaves out those counted once, has count 1.
+
+`vocabulary` asks for a smaller model instead: its words are that many most frequent ones, all others are the unknown
+word, which is counted and scored as a word, and n-grams counted less than `least` times are left out.
 
 Heavy n-grams, those with more than a fixed share of all counts, are few by definition; they are broadcast and scored
 where the texts are read, so that no key is hot in the join. Every other n-gram goes through the join.
@@ -26,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored
+from .shingles import mixed, word_hashes
 
 ALPHA = 0.4
 ID_BITS = 17
@@ -134,10 +141,110 @@ def exploded(docs: DataFrame, shared, heavy, order: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(explode, "doc_id long, gram long, x double")
 
 
-def score(docs: DataFrame, *, order: int = 2, vocabulary: int = 1 << 16, least: int = 2, alpha: float = ALPHA, heavy_share: float = HEAVY_SHARE) -> DataFrame:
-    """doc_id, n_words, log_score, mean_log for every document."""
-    if not 2 <= order <= 3 or vocabulary + 2 > 1 << ID_BITS:
+#: The start sign, and odd factors of the places in an n-gram.
+_START = np.array([0x5851F42D4C957F2D], np.uint64)
+_PLACE = np.random.default_rng(31).integers(1, 1 << 63, 3, dtype=np.uint64) | np.uint64(1)
+
+
+def hashed_words(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return word_hashes(" ".join(text.split())) if text else np.zeros(0, np.uint64)
+
+
+def hashed_grams(words: np.ndarray, length: int) -> np.ndarray:
+    """Names of the n-grams of one length that end at each word; one start sign stands before the first word, so n-grams
+    of three begin with the second word."""
+    ids = np.concatenate([_START, words]) if length > 1 else words
+    n = max(0, len(ids) - length + 1)
+    out = np.full(n, length, np.uint64)
+    for k in range(length):
+        out += ids[k : k + n] * _PLACE[k]
+    return mixed(out).view(np.int64)
+
+
+def hashed_counts(docs: DataFrame, order: int) -> DataFrame:
+    """gram, n for all n-grams of the lengths that scores need; tasks add up first."""
+
+    def count(batches):
+        held, size = [], 0
+
+        def out():
+            gram, n = np.unique(np.concatenate(held), return_counts=True)
+            for at in range(0, len(gram), 1 << 17):
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(gram[at : at + (1 << 17)]), "n": pa.array(n[at : at + (1 << 17)], pa.int64())})
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                words = hashed_words(text)
+                held += [hashed_grams(words, k) for k in (order, order - 1)]
+                size += 2 * len(words)
+                if size > _FLUSH:
+                    yield from out()
+                    held, size = [], 0
+        if held:
+            yield from out()
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "gram long, n long")
+    return rows.repartition("gram").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def parts(docs: DataFrame, heavy, order: int, documents: int, alpha: float) -> DataFrame:
+    """doc_id, gram, x, words: how often the log of an n-gram's count enters a document's score, but for heavy n-grams.
+
+    One row more of a document has its number of words, and as x what needs no join: its score for the heavy n-grams, the
+    start and `alpha`. Its gram is a hash of the document, so that it is no hot key."""
+
+    def explode(batches):
+        known, log_n = heavy.value
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            for first in range(0, len(texts), 64):
+                doc, gram, x, count = [], [], [], []
+                for k, (doc_id, text) in enumerate(zip(ids[first : first + 64], texts[first : first + 64])):
+                    words = hashed_words(text)
+                    top, history = hashed_grams(words, order), hashed_grams(words, order - 1)[:-1]
+                    begin = hashed_grams(words[:1], 2) if order == 3 else top[:0]
+                    unique, where = np.unique(np.concatenate([top, begin, history]), return_inverse=True)
+                    sign = np.ones(len(where))
+                    sign[len(top) + len(begin) :] = -1
+                    times = np.bincount(where, sign, len(unique))
+                    at = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
+                    hit = known[at] == unique if len(known) else np.zeros(len(unique), bool)
+                    fixed = float((log_n[at[hit]] * times[hit]).sum()) + (((order - 2) * math.log(alpha) - math.log(documents)) if len(words) else 0.0)
+                    sent = ~hit & (times != 0)
+                    own = mixed(np.array([k if doc_id is None else doc_id], np.int64).view(np.uint64)).view(np.int64)
+                    doc += [doc_id] * (int(sent.sum()) + 1)
+                    gram += [unique[sent], own]
+                    x += [times[sent], np.array([fixed])]
+                    count += [None] * int(sent.sum()) + [len(words)]
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "gram": pa.array(np.concatenate(gram)), "x": pa.array(np.concatenate(x)), "words": pa.array(count, pa.int32())})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(explode, "doc_id long, gram long, x double, words int")
+
+
+def whole_model(docs: DataFrame, order: int, alpha: float, heavy_share: float) -> DataFrame:
+    spark = docs.sparkSession
+    small_batches(spark)
+    table = stored(hashed_counts(docs, order).where("n > 1"), "counts")
+    facts = docs.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length(F.col("text").cast("string"))).alias("characters")).head()
+    # About six characters a word: the limit only says what is broadcast, so it needs no exact count.
+    limit = max(2, math.ceil((facts.characters or 0) / 6 * heavy_share))
+    heavy = table.where(F.col("n") >= limit).toArrow()
+    by = np.argsort(heavy.column("gram").to_numpy())
+    pair = spark.sparkContext.broadcast((heavy.column("gram").to_numpy()[by], np.log(heavy.column("n").to_numpy()[by])))
+    rows = parts(docs, pair, order, max(facts.documents, 1), alpha)
+    hits = rows.join(table.select("gram", F.log(F.col("n").cast("double")).alias("log_n")).hint("shuffle_hash"), "gram", "left")
+    value = F.when(F.col("words").isNull(), F.col("x") * F.coalesce("log_n", F.lit(0.0))).otherwise(F.col("x"))
+    out = hits.groupBy("doc_id").agg(F.sum(F.coalesce("words", F.lit(0)).cast("long")).alias("n_words"), F.sum(value).alias("log_score"))
+    return out.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log"))
+
+
+def score(docs: DataFrame, *, order: int = 3, vocabulary: int | None = None, least: int = 2, alpha: float = ALPHA, heavy_share: float = HEAVY_SHARE) -> DataFrame:
+    """doc_id, n_words, log_score, mean_log for every document; `least` is of models with a vocabulary."""
+    if not 2 <= order <= 3 or (vocabulary or 0) + 2 > 1 << ID_BITS:
         raise ValueError("order is 2 or 3, and ids have 17 bits")
+    if vocabulary is None:
+        return whole_model(docs, order, alpha, heavy_share)
     spark = docs.sparkSession
     small_batches(spark)
     every = stored(word_counts(docs), "words")

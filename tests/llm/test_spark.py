@@ -178,6 +178,26 @@ def test_backoff(docs, empty, order, vocabulary):
         assert backoff_lm.score(empty, order=order, vocabulary=vocabulary).count() == 0
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_backoff_whole(docs, empty, order):
+    data = [(r[0], ["<s>", *(r[1] or "").split()]) for r in rows()] + [(1000 + i, ["<s>", f"rare{i}", "twice"]) for i in range(3)]
+    frame = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame([(i, " ".join(t[1:])) for i, t in data[-3:]], "doc_id long, text string"))
+    counts = Counter(tuple(t[j - k + 1 : j + 1]) for _, t in data for k in range(1, order + 1) for j in range(k - 1, len(t)))
+    want = defaultdict(lambda: [0, 0.0])
+    for i, t in data:
+        for j in range(1, len(t)):
+            k = min(order, j + 1)
+            gram = tuple(t[j - k + 1 : j + 1])
+            want[i][1] += (order - k) * math.log(0.4) + math.log(counts[gram] / counts[gram[:-1]])
+        want[i][0] += len(t) - 1
+    for share in (backoff_lm.HEAVY_SHARE, 1e-2):
+        found = backoff_lm.score(frame, heavy_share=share, **({} if order == 3 else {"order": order})).collect()
+        assert {r.doc_id for r in found} == set(want) and len(found) == len(want)
+        for r in found:
+            assert r.n_words == want[r.doc_id][0] and abs(r.log_score - want[r.doc_id][1]) < 1e-6 * (1 + abs(want[r.doc_id][1]))
+    assert backoff_lm.score(empty, order=order).count() == 0
+
+
 def test_mixing(docs, empty):
     found = mixing.mix_counts(docs).collect()
     assert len(found) == len(rows()) and {(r.doc_id, r.taken) for r in found} == {(r.doc_id, r.taken) for r in mixing.mix_counts(docs).collect()}
