@@ -150,6 +150,14 @@ def test_near_dedup(docs, empty):
     assert minhash_icws.near_classes(empty).count() == 0
 
 
+def test_near_dedup_family_of_pairs(spark):
+    """Near pairs on a common core share buckets with all of the family, and are found all the same."""
+    core = [f"core{k}" for k in range(300)]
+    text = lambda i: " ".join([*core, *[f"pair{i // 2}x{k}" for k in range(5)], *[f"own{i}x{k}" for k in range(5)]])
+    found = minhash_icws.near_classes(spark.createDataFrame([(i, text(i)) for i in range(240)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == {i: i // 2 * 2 for i in range(240)}
+
+
 @pytest.mark.parametrize("order,vocabulary", [(2, 50), (2, 1 << 16), (3, 60)])
 def test_backoff(docs, empty, order, vocabulary):
     data = [(r[0], (r[1] or "").split()) for r in rows()]
