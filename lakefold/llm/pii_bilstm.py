@@ -5,9 +5,9 @@ base spans of a bounded sample of documents, and generated spans in further spel
 overlapping windows; emissions of a character from several windows are averaged with weights that fall towards a
 window's ends, and one Viterbi pass over each covered stretch decides globally, so no span is cut by a window.
 
-A span must hold a digit or '@' (a constraint of the decoder), so windows without either decode to nothing and are not
-run; that is exact for this decoder. Spans of the network that meet a base span are dropped, the rest are added when
-they satisfy the exact check of their kind.
+A span of the network must satisfy the exact check of its kind, which asks for digits, or for '@' or the word "at" in an
+email. Only windows that hold one of these, and those that overlap them, are run; no span without one can pass the check.
+Spans of the network that meet a base span are dropped.
 
 Defined results: a null text is empty and has no span. Texts of any length are read whole, in linear time. Equal texts
 get equal spans. Offsets are code points, ends exclusive. Other columns are ignored."""
@@ -36,7 +36,9 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_DIGIT = re.compile(r"[0-9@]")
+# Every span that `plausible` accepts holds one of these.
+_TRIGGER = re.compile(r"[0-9@]|\bat\b")
 _DIGITS = re.compile(r"[^0-9]+")
 
 
@@ -50,7 +52,7 @@ def luhn(digits: str) -> bool:
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """All base spans, by kind as listed and then by start."""
-    if not _TRIGGER.search(text):
+    if not _DIGIT.search(text):
         return []
     out, done = [], 0
     at = text.find("@")
@@ -207,7 +209,8 @@ class PiiModel:
         for number, text in enumerate(texts):
             last = -1
             for m in _TRIGGER.finditer(text):
-                for k in range(max(last + 1, (m.start() - WINDOW) // STRIDE + 1, 0), m.start() // STRIDE + 1):
+                # Windows that hold the trigger, and those that overlap them.
+                for k in range(max(last + 1, (m.start() - WINDOW) // STRIDE, 0), min(m.start() // STRIDE + 1, (len(text) - 1) // STRIDE) + 1):
                     plan.append((number, k))
                     last = k
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
@@ -272,7 +275,7 @@ class PiiModel:
                 while end < len(path) and path[end] == path[t] + 1:
                     end += 1
                 kind, span = KINDS[path[t] // 2], text[begin + t : begin + end]
-                if _TRIGGER.search(span) and plausible(kind, span):
+                if plausible(kind, span):
                     out.append((kind, begin + t, begin + end))
                 t = end
             else:
@@ -292,6 +295,10 @@ def made_span(rng: np.random.Generator) -> tuple[str, str]:
     if kind == "email":
         user, host = word(2, 9) + str(rng.choice([".", "_", ""])) + d(int(rng.integers(1, 4))), word(3, 8) + d(1)
         top = str(rng.choice(["com", "org", "net", "de", "fr", "es"]))
+        if rng.random() < 0.5:  # letters only
+            user, host = word(2, 9), word(3, 8)
+            if style == 3 and rng.random() < 0.5:
+                user += " dot " + word(2, 9)
         return kind, (f"{user}@{host}.example.{top}", f"{user}@{host}.{top}", f"{user} @ {host} . {top}", f"{user} at {host} dot {top}")[style]
     if kind == "ip":
         parts = [str(rng.integers(0, 256)) for _ in range(4)]
@@ -306,7 +313,7 @@ def made_span(rng: np.random.Generator) -> tuple[str, str]:
 
 
 def examples(texts: list[str], count: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and tags (time, count): stretches of texts with spans put in, decoys of digits, and untouched ones."""
+    """Windows and tags (time, count): stretches of texts with spans put in, decoys of digits or around "at", and untouched ones."""
     ids, tags = np.zeros((WINDOW, count), np.int64), np.zeros((WINDOW, count), np.int64)
     texts = [t for t in texts if len(t) > 20] or ["plain words without any number "]
     for j in range(count):
@@ -323,7 +330,8 @@ def examples(texts: list[str], count: int, rng: np.random.Generator) -> tuple[np
                 spans = [(kind, put, put + len(span))]
             else:
                 n = int(rng.integers(1, 30))
-                span = "".join(rng.choice(list("0123456789abcdef" if draw < 0.75 else "0123456789"), n if draw < 0.75 else min(n, 7)))
+                words = rng.choice(s.split() or ["word"], 4)
+                span = f"{words[0]} at {words[1]} {words[2]}. {words[3]}" if draw >= 0.8 else "".join(rng.choice(list("0123456789abcdef" if draw < 0.75 else "0123456789"), n if draw < 0.75 else min(n, 7)))
             s = s[:put] + span + str(rng.choice([" ", ", ", ".", "\n"])) + s[put:]
         else:
             spans = base_spans(s)

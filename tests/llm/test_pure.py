@@ -117,6 +117,32 @@ def test_network_finds_other_spellings():
     assert pii_bilstm.redact("mail a@b.example.com", base) == "mail [email]"
 
 
+def test_network_finds_spellings_without_digits():
+    filler = [" ".join(["then", "are", "under", "with"] * 30)] * 3
+    model = pii_bilstm.train(filler, batches=160, batch=32)
+    rng, found = np.random.default_rng(4), 0
+    for _ in range(40):
+        user, name, host = ("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(n))) for n in rng.integers(3, 8, 3))
+        span = str(rng.choice([f"{user} dot {name} at {host} dot org", f"{user} at {host} dot com"]))
+        text = "then are under " * 20 + span + " with under, " * 20
+        found += any(kind == "email" and a < 300 + len(span) and 300 < b for kind, a, b in model.spans(text))
+    assert found >= 24
+    assert model.spans("look at the plain words " * 50) == [] and model.spans("plain words. " * 50) == []
+
+
+def test_network_runs_overlapping_windows():
+    """Two windows hold the trigger, and one more on each side overlaps them."""
+    seen = []
+
+    class Counting(pii_bilstm.PiiModel):
+        def emissions(self, ids):
+            seen.append(ids.shape[1])
+            return np.zeros((*ids.shape, pii_bilstm.TAGS), np.float32)
+
+    Counting({"trans": np.zeros((pii_bilstm.TAGS,) * 2)}).many(["x" * 480 + "1" + "x" * 480])
+    assert sum(seen) == 4
+
+
 def test_language_id():
     r = random.Random(1)
     words = {"en": ["the", "thing", "then", "with"], "de": ["über", "nicht", "schön", "ist"]}
