@@ -11,7 +11,7 @@ Equal texts are one class from the start, and stay one row from then on. Two ord
 bands. Then, for buckets whose members are still in several components, the ones outside the leader's component are
 compared with a second member of it, and with a leader of their own. Last, all pairs of a bucket that are in different
 components and were not compared yet are compared too, unless fewer than `AGREE` of their 48 samples agree: of pairs with
-a similarity of 0.8, one in 100,000 does. Crowded buckets are dealt in pairs of blocks. Classes are connected components.
+a similarity of 0.8, a share of 1.3e-05 does. Crowded buckets are dealt in pairs of blocks. Classes are connected components.
 
 Defined results: a null text counts as empty; texts without words are near only to equal texts. A text of fewer than
 five words has one shingle. A null doc_id is its own document by its text. Rows of one doc_id are one document. An empty
