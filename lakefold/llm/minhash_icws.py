@@ -1,21 +1,26 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is the weighted set of its five-word shingles: times occurring times inverse document frequency. Document
-frequencies are counted over all documents in a table of fixed size indexed by hash, summed by a shuffle. For each of
-48 hashes a shingle's weight is quantised on a logarithmic grid and the sample is the (shingle, level) with the least
-key, so two documents share it with the probability of their weighted Jaccard similarity. Samples are joined into 12
-bands of 4. In each bucket members are compared with leaders, not with each other, and every comparison computes the
-exact weighted Jaccard similarity from the whole texts; pairs of 0.8 or more are links.
-
-Equal texts are one class from the start, and stay one row from then on. Two orders of leaders are used for even and odd
-bands. Then, for buckets whose members are still in several components, the ones outside the leader's component are
-compared with a second member of it, and with a leader of their own. Last, all pairs of a bucket that are in different
-components and were not compared yet are compared too, unless fewer than `AGREE` of their 48 samples agree: of pairs with
-a similarity of 0.8, a share of 1.3e-05 does. Crowded buckets are dealt in pairs of blocks. Classes are connected components.
-
-Defined results: a null text counts as empty; texts without words are near only to equal texts. A text of fewer than
-five words has one shingle. A null doc_id is its own document by its text. Rows of one doc_id are one document. An empty
-table gives an empty result. The document with the smallest id of a class stays. Other columns are ignored."""
+frequencies are counted exactly, by a shuffle, over all documents. The weight of a shingle in df of N documents is
+1 + log((N + 1) / (max(df, floor) + 1)). The floor is the least one for which at most `most` shingles are above it, so
+their frequencies can be broadcast: it is 1 for small tables, and a fixed share of N, about one in 2,000, for large ones of
+like texts. The same weights are sampled and verified.
+
+For each of 48 hashes a shingle's weight is quantised on a logarithmic grid and the sample is the (shingle, level) with
+the least key, so two documents share it with the probability of their weighted Jaccard similarity. Samples are joined
+into 12 bands of 4. Every comparison computes the exact weighted Jaccard similarity from the whole texts; pairs of 0.8 or
+more are links, and classes are connected components.
+
+Equal texts are one node from the start. Of each bucket, members are first compared with one leader, of two orders of
+leaders for even and odd bands. Then follow the pairs of a bucket that are in different components: first each member
+outside the leader's component with the member of another one that shares most samples with it, and last all such pairs,
+unless fewer than `AGREE` of their 48 samples agree; of pairs with a similarity of 0.8, a share of 1.3e-05 does. Crowded
+buckets are dealt in pairs of blocks, so no task gets a whole bucket.
+
+Defined results: every row is a document, also where doc_ids repeat. Of a class the row with the smallest (doc_id, place)
+stays, a null doc_id first; class_id is its doc_id, or for a null one a negative number from the texts. A null text counts
+as empty; texts without words are near only to equal texts. A text of fewer than five words has one shingle. Very long
+texts are read whole. An empty table gives an empty result. Other columns are ignored, whatever their names."""
 
 from __future__ import annotations
 
@@ -23,14 +28,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, small_batches, stored
+from .common import arrow_map, located, matched, passing, small_batches, stored, without
 from .graph import components
 from .shingles import counted, mixed
 
-DF_BITS = 18
+#: Shingles whose own frequency is broadcast, 16 bytes each; and shingles that a task adds up before it sends them.
+MOST, _FLUSH = 1 << 20, 1 << 21
 HASHES, ROWS = 48, 4
 THRESHOLD = 0.8
 #: Samples of 48 in which a pair that the leaders left open agrees at least, and the members of a block of such pairs.
@@ -97,13 +103,21 @@ class Sampler:
 
 @dataclass
 class Weights:
-    """Inverse document frequencies by the upper bits of a shingle's hash; of fixed size."""
+    """Inverse document frequencies: of the frequent shingles, ascending, and of all others."""
 
+    shingles: np.ndarray
     idf: np.ndarray
-    bits: int = DF_BITS
+    other: float
 
     def of(self, shingles: np.ndarray, times: np.ndarray) -> np.ndarray:
-        return times * self.idf[(shingles >> np.uint64(64 - self.bits)).astype(np.intp)]
+        if not len(self.shingles):
+            return times * self.other
+        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
+        return times * np.where(self.shingles[at] == shingles, self.idf[at], self.other)
+
+
+def idf(df: np.ndarray | int, documents: int, floor: int) -> np.ndarray:
+    return 1 + np.log((documents + 1) / (np.maximum(df, floor) + 1))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -114,72 +128,64 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return low / total if total > 0 else 0.0
 
 
-def node_of(doc_id: Column, text: Column) -> Column:
-    """doc_id, or for a null one a negative number from its text."""
-    return F.coalesce(doc_id.cast("long"), -1 - F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long"))
-
-
-def whole(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(node_of(F.col("doc_id"), text).alias("node"), text.alias("text"))
+def frequencies(texts: DataFrame, most: int = MOST) -> Weights:
+    """Counts the documents of every shingle; each task adds up parts of its own rows first."""
+    small_batches(texts.sparkSession)
 
+    def count(batches):
+        held, size, total = [], 0, 0
 
-def document_frequencies(docs: DataFrame, bits: int = DF_BITS) -> Weights:
-    """Counts every document's distinct shingles; each task adds up its own table first."""
-    small_batches(docs.sparkSession)
+        def out():
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            found = found.view(np.int64)
+            for at in range(0, len(found), 1 << 17):
+                yield pa.RecordBatch.from_pydict({"shingle": pa.array(found[at : at + (1 << 17)]), "n": pa.array(n[at : at + (1 << 17)], pa.int64())})
 
-    def count(batches):
-        table, held, size, documents = np.zeros(1 << bits, np.int64), [], 0, 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                found = (counted(text)[0] >> np.uint64(64 - bits)).astype(np.int64)
-                held.append(found)
-                size += len(found)
-                documents += 1
-                if size > 1 << 20:
-                    table += np.bincount(np.concatenate(held), minlength=1 << bits)
-                    held, size = [], 0
+                held.append(counted(text)[0])
+                size += len(held[-1])
+                if size > _FLUSH:
+                    yield from out()
+                    held, size, total = [], 0, total + size
         if held:
-            table += np.bincount(np.concatenate(held), minlength=1 << bits)
-        used = np.flatnonzero(table)
-        yield pa.RecordBatch.from_pydict({"slot": pa.array([-1], pa.int64()), "n": pa.array([documents], pa.int64())})
-        for at in range(0, len(used), 1 << 16):
-            part = used[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(part, pa.int64()), "n": pa.array(table[part], pa.int64())})
-
-    rows = whole(docs).select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    slot, n = rows.column("slot").to_numpy(), rows.column("n").to_numpy()
-    documents = int(n[slot < 0].sum())
-    frequency = np.zeros(1 << bits, np.int64)
-    frequency[slot[slot >= 0]] = n[slot >= 0]
-    return Weights(1 + np.log((documents + 1) / (np.minimum(frequency, documents) + 1)), bits)
-
-
-def signatures(docs: DataFrame, weights: Weights, sampler: Sampler) -> DataFrame:
-    """node, digest, the band hashes (none for texts without words) and a byte of each sample, of every row."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((weights, sampler))
+            yield from out()
+        yield pa.RecordBatch.from_pydict({"shingle": pa.array([None], pa.int64()), "n": pa.array([total + size], pa.int64())})  # of all
+
+    rows = texts.select("text").mapInArrow(count, "shingle long, n long")
+    table = stored(rows.repartition("shingle").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1 or shingle is null"), "frequencies")
+    total = table.where("shingle is null").select("n").head()
+    documents, floor = texts.count(), max(1, -(-(total.n if total else 0) // most))
+    # At most total / floor shingles are in so many documents, so at most `most`.
+    frequent = table.where(F.col("shingle").isNotNull() & (F.col("n") >= max(2, floor))).toArrow()
+    shingles, n = frequent.column("shingle").to_numpy().view(np.uint64), frequent.column("n").to_numpy()
+    by = np.argsort(shingles)
+    return Weights(shingles[by], idf(n[by], documents, floor), float(idf(1, documents, floor)))
+
+
+def signatures(rows: DataFrame, shared) -> DataFrame:
+    """doc_id, locator, digest, the band hashes (none for texts without words) and a byte of each sample, of every row."""
 
     def over(batch):
-        idf, sampler = shared.value
+        weights, sampler = shared.value
         out, marks = [], []
         for text in batch.column("text").to_pylist():
             shingles, times = counted(text)
-            samples = sampler.sample(shingles, idf.of(shingles, times)) if len(shingles) else np.zeros(0, np.uint64)
+            samples = sampler.sample(shingles, weights.of(shingles, times)) if len(shingles) else np.zeros(0, np.uint64)
             out.append(sampler.banded(samples) if len(shingles) else [])
             marks.append(samples.astype(np.uint8).tobytes())
-        yield {"node": batch.column("node"), "digest": batch.column("digest"), "bands": pa.array(out, pa.list_(pa.int64())), "marks": pa.array(marks, pa.binary())}
+        yield {"doc_id": batch.column("doc_id"), "locator": batch.column("locator"), "digest": batch.column("digest"), "bands": pa.array(out, pa.list_(pa.int64())), "marks": pa.array(marks, pa.binary())}
 
-    return arrow_map(whole(docs).select("node", F.md5(F.col("text").cast("binary")).alias("digest"), "text"), over, "node long, digest string, bands array<long>, marks binary")
+    digest = F.md5(F.col("text").cast("binary")).alias("digest")
+    return arrow_map(rows.select("doc_id", "locator", digest, "text"), over, "doc_id long, locator struct<file:string,at:long>, digest string, bands array<long>, marks binary")
 
 
-def compared(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
+def compared(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
     """a, b, similarity of every pair, from the whole texts."""
-    shared = texts.sparkSession.sparkContext.broadcast(weights)
     rows = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
 
     def over(batch):
-        weights, cache, out = shared.value, {}, []
+        (weights, _), cache, out = shared.value, {}, []
 
         def weighted(node: int, text: str) -> tuple[np.ndarray, np.ndarray]:
             if node not in cache:
@@ -197,94 +203,103 @@ def compared(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
     return arrow_map(rows.select("a", "b", "text_a", "text_b"), over, "a long, b long, similarity double")
 
 
-def order_of(node: Column, salt: int | Column) -> Column:
-    return F.struct(F.xxhash64(salt if isinstance(salt, Column) else F.lit(salt), node).alias("h"), node.alias("node"))
-
-
 def distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_classes(docs: DataFrame, *, threshold: float = THRESHOLD, sampler: Sampler | None = None) -> DataFrame:
-    """node, doc_id, class_id, class_size, kept for every row of docs; class_id is the smallest node of the class."""
-    sampler = sampler or Sampler()
-    weights = document_frequencies(docs)
-    signed = stored(signatures(docs, weights, sampler), "signatures")
-    classes = stored(signed.groupBy("digest").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "texts")
-    buckets = stored(classes.select("rep", F.posexplode("bands").alias("band", "key")), "buckets")
-    first = buckets.groupBy("key").agg(F.min(order_of(F.col("rep"), F.col("band") % 2)).alias("lead"), F.count(F.lit(1)).alias("n"))
-    leaders = stored(first.where("n > 1").select("key", F.col("lead.node").alias("leader")), "leaders")
-    members = stored(buckets.join(leaders, "key").select("key", "leader", "rep"), "members")
-    pairs = stored(distinct_pairs(members.select(F.col("rep").alias("x"), F.col("leader").alias("y"))), "pairs")
-    needed = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "needed")
-    texts = stored(whole(docs).join(needed, "node"), "candidates")
-    links = stored(compared(pairs, texts, weights), "compared")
-    labels = components(links.where(F.col("similarity") >= threshold))
-    done = links
-    for further in (second_round, lambda *known: remaining(*known, classes, threshold, sampler)):
-        more = further(members, labels, done)
-        again = stored(compared(more, texts, weights), "compared")
+def near_rows(held: DataFrame, *, threshold: float, sampler: Sampler, most: int) -> DataFrame:
+    """doc_id, locator, class_id, class_size, kept and class_key of every row of `located` rows."""
+    spark = held.sparkSession
+    rows = held.select(F.col("row.doc_id").cast("long").alias("doc_id"), "locator", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text"))
+    with passing(spark):
+        shared = spark.sparkContext.broadcast((frequencies(rows, most), sampler))
+        signed = stored(signatures(rows, shared), "signatures", lasting=True)
+        firsts = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "locator")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+        nodes = stored(firsts.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        labels = linked(rows, nodes, shared, threshold)
+        parts = nodes.join(labels, "node", "left").select("digest", "first", "copies", F.coalesce("component", "node").alias("component"))
+        parts = stored(parts, "parts")
+        whole = stored(parts.groupBy("component").agg(F.min("first").alias("keep"), F.sum("copies").alias("class_size"), F.min("digest").alias("class_key")), "classes")
+        classes = stored(parts.join(whole, "component").select("digest", "keep", "class_size", "class_key"), "classes", lasting=True)
+    nameless = -1 - F.conv(F.substring("class_key", 1, 15), 16, 10).cast("long")
+    kept = F.struct("doc_id", "locator").eqNullSafe(F.col("keep")).alias("kept")
+    out = signed.select("doc_id", "locator", "digest").join(classes, "digest")
+    return out.select("doc_id", "locator", F.coalesce("keep.doc_id", nameless).alias("class_id"), "class_size", kept, "class_key")
+
+
+def linked(rows: DataFrame, nodes: DataFrame, shared, threshold: float) -> DataFrame:
+    """node, component of every node with a link."""
+    buckets = stored(nodes.select("node", F.posexplode("bands").alias("band", "key")), "buckets")
+    first = F.min_by("node", F.xxhash64(F.col("band") % 2, "node")).alias("leader")
+    leaders = stored(buckets.groupBy("key").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "leader"), "leaders")
+    members = stored(buckets.join(leaders, "key").select("key", "leader", "node"), "members")
+    wanted = members.select("node").distinct().join(nodes.select("node", F.col("first.locator").alias("locator")), "node")
+    texts = stored(matched(rows.select("locator", "text"), "locator", stored(wanted, "wanted")).select("node", "text"), "candidates")
+    done = stored(compared(stored(distinct_pairs(members.select(F.col("node").alias("x"), F.col("leader").alias("y"))), "pairs"), texts, shared), "compared")
+    labels = components(done.where(F.col("similarity") >= threshold))
+    for best in (True, False):
+        more = open_pairs(members, labels, nodes, threshold, shared.value[1], best)
+        more = stored(more.join(done.select("a", "b"), ["a", "b"], "left_anti"), "more")
+        if not more.head(1):
+            continue
+        again = stored(compared(more, texts, shared), "compared")
         done = done.union(again)
         if again.where(F.col("similarity") >= threshold).head(1):
             labels = components(done.where(F.col("similarity") >= threshold))
-    labelled = classes.select("digest", "rep", "copies").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = stored(labelled.select("digest", "copies", F.coalesce("component", "rep").alias("class_id")), "labelled")
-    sizes = stored(labelled.groupBy("class_id").agg(F.sum("copies").alias("class_size")), "sizes")
-    sized = stored(labelled.join(sizes, "class_id").select("digest", "class_id", "class_size"), "sized")
-    out = signed.select("node", "digest").join(sized, "digest")
-    return out.select("node", F.when(F.col("node") >= 0, F.col("node")).alias("doc_id"), "class_id", "class_size", (F.col("node") == F.col("class_id")).alias("kept"))
-
-
-def second_round(members: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs for members of a bucket that are outside its leader's component: with another member of that component, and
-    with the first of their own kind."""
-    named = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(side + "_c"))
-    at = stored(members.join(named("rep"), "rep", "left").select("key", "leader", "rep", F.coalesce("rep_c", "rep").alias("rep_c")), "at")
-    at = stored(at.join(named("leader"), "leader", "left").select("key", "rep", "leader", (F.col("rep_c") == F.coalesce("leader_c", "leader")).alias("inside")), "at")
-    own = F.min(F.when(~F.col("inside"), order_of(F.col("rep"), 5)))
-    other = F.min(F.when(F.col("inside") & (F.col("rep") != F.col("leader")), order_of(F.col("rep"), 6)))
-    picks = at.groupBy("key").agg(own.alias("own"), other.alias("other"))
-    picks = stored(picks.where("own is not null").select("key", F.array_compact(F.array("own.node", "other.node")).alias("with")), "picks")
-    met = at.where(~F.col("inside")).select("key", "rep").join(picks, "key").select(F.col("rep").alias("x"), F.explode("with").alias("y"))
-    fresh = stored(distinct_pairs(met), "fresh")
-    return stored(fresh.join(done.select("a", "b"), ["a", "b"], "left_anti"), "more")
-
-
-def remaining(members: DataFrame, labels: DataFrame, done: DataFrame, classes: DataFrame, threshold: float, sampler: Sampler) -> DataFrame:
-    """All pairs of a bucket's members in different components that are not done and agree in enough samples."""
-    component = labels.select(F.col("node").alias("rep"), "component")
-    at = stored(members.join(component, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "parts")
-    open_ = at.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("n"))
-    open_ = open_.where("_low != _high").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rows = at.join(open_, "key").join(classes.select("rep", "marks"), "rep")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "marks")
-    groups = rows.groupBy("key", "i", "j").agg(F.collect_list(F.struct("own", "rep", "component", "marks")).alias("m"))
+    return labels
+
+
+def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float, sampler: Sampler, best: bool) -> DataFrame:
+    """a, b: pairs of a bucket's members that are in different components and agree in enough samples.
+
+    Of every such pair one is outside the leader's component. These `seekers` are met with all members: blocks of both are
+    paired, so a group of rows has about 2 * BLOCK at most. With `best` a seeker gives one pair of each group."""
+    at = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), (F.col("node") == F.col("leader")).alias("leads"))
+    at = stored(at, "at")
+    tops = at.where("leads").select("key", F.col("component").alias("top"))
+    at = stored(at.join(tops, "key").select("key", "node", "component", (F.col("component") != F.col("top")).alias("seeks")), "sides")
+    few = lambda n: F.ceil(n / BLOCK).cast("long")
+    sizes = at.groupBy("key").agg(few(F.count(F.lit(1))).alias("blocks"), few(F.count_if("seeks")).alias("seeking")).where("seeking > 0")
+    held = stored(at.join(stored(sizes, "open"), "key").join(nodes.select("node", "marks"), "node"), "open")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    what = F.struct("node", "component", "seeks", "marks").alias("m")
+    found = held.select("key", own("blocks").alias("i"), every("seeking").alias("j"), F.lit(False).alias("asks"), what)
+    asking = held.where("seeks").select("key", every("blocks").alias("i"), own("seeking").alias("j"), F.lit(True).alias("asks"), what)
+    groups = found.union(asking).groupBy("key", "i", "j").agg(F.collect_list(F.struct("asks", "m")).alias("rows"))
     least = min(AGREE / HASHES, threshold - 0.25) * sampler.hashes
 
     def over(batch):
-        for i, j, m in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("m")):
-            m = m.values.flatten()
-            own, rep, component = (c.to_numpy() for c in m[:3])
-            marks = np.frombuffer(b"".join(m[3].to_pylist()), np.uint8).reshape(len(rep), -1)
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        for group in batch.column("rows"):
+            asks, m = group.values.flatten()
+            asks = asks.to_numpy(zero_copy_only=False)
+            node, component, seeks, marks = m.flatten()
+            node, component, seeks = node.to_numpy(), component.to_numpy(), seeks.to_numpy(zero_copy_only=False)
+            marks = np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(len(node), -1)
+            to = np.flatnonzero(~asks)
             x, y = [], []
-            for k in left:
-                to = right[right > k] if i == j else right
-                to = to[component[to] != component[k]]
-                to = to[(marks[to] == marks[k]).sum(1) >= least]
-                x.append(np.full(len(to), rep[k]))
-                y.append(rep[to])
+            for k in np.flatnonzero(asks):
+                agree = (marks[to] == marks[k]).sum(1)
+                agree[component[to] == component[k]] = 0
+                if best:
+                    hit = to[[agree.argmax()]] if len(to) and agree.max() >= least else to[:0]
+                else:  # two seekers meet twice
+                    hit = to[(agree >= least) & (~seeks[to] | (node[to] > node[k]))]
+                x.append(np.full(len(hit), node[k]))
+                y.append(node[hit])
             if x:
                 yield {"x": pa.array(np.concatenate(x), pa.int64()), "y": pa.array(np.concatenate(y), pa.int64())}
 
-    fresh = stored(distinct_pairs(arrow_map(groups.select("i", "j", "m"), over, "x long, y long")), "fresh")
-    return stored(fresh.join(done.select("a", "b"), ["a", "b"], "left_anti"), "more")
+    return distinct_pairs(arrow_map(groups.select("rows"), over, "x long, y long"))
+
+
+def near_classes(docs: DataFrame, *, threshold: float = THRESHOLD, sampler: Sampler | None = None, most: int = MOST) -> DataFrame:
+    """doc_id, class_id, class_size, kept and class_key (which no two classes share) for every row of docs."""
+    return near_rows(located(docs), threshold=threshold, sampler=sampler or Sampler(), most=most).drop("locator")
 
 
-def keep_one(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, that stay: one document of each class."""
-    gone = near_classes(docs, threshold=threshold).where(~F.col("kept")).select(F.col("node").alias("__node"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("__node", node_of(F.col("doc_id"), text))
-    return rows.join(gone, "__node", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+def keep_one(docs: DataFrame, *, threshold: float = THRESHOLD, most: int = MOST) -> DataFrame:
+    """The rows of docs, with all their columns, that stay: one row of each class."""
+    held = located(docs)
+    gone = near_rows(held, threshold=threshold, sampler=Sampler(), most=most).where(~F.col("kept")).select("locator")
+    return without(held, stored(gone, "gone", lasting=True))

@@ -111,51 +111,77 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_near_dedup(docs, empty):
-    text = {}
-    for r in rows():
-        text[r[0]] = r[1] or ""
-    df, n = Counter(), len(rows())
-    grams = lambda t: Counter(tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))) if t.split() else Counter()
-    for r in rows():
-        df.update(grams(r[1] or "").keys())
-    weights = {i: {g: c * (1 + math.log((n + 1) / (df[g] + 1))) for g, c in grams(t).items()} for i, t in text.items()}
-    parent = {i: i for i in text}
-    ids = list(text)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            keys = set(weights[a]) | set(weights[b])
-            low = sum(min(weights[a].get(g, 0), weights[b].get(g, 0)) for g in keys)
-            high = sum(max(weights[a].get(g, 0), weights[b].get(g, 0)) for g in keys)
-            if text[a] == text[b] or high and low / high >= 0.8:
-                x, y = a, b
-                while parent[x] != x:
-                    x = parent[x]
-                while parent[y] != y:
-                    y = parent[y]
-                parent[max(x, y)] = min(x, y)
+def grams(text):
+    words = re.findall(r"[^ \t\n\r\v\f]+", text)
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+
+
+def near_by_force(data, most=1 << 20):
+    """The class of each (doc_id, text) as its place in data, by comparing all pairs."""
+    sets = [grams(t or "") for _, t in data]
+    df = Counter(g for s in sets for g in s)
+    floor = max(1, -(-sum(df.values()) // most))
+    idf = lambda g: 1 + math.log((len(data) + 1) / (max(df[g], floor) + 1))
+    weights = [{g: c * idf(g) for g, c in s.items()} for s in sets]
+    root = list(range(len(data)))
 
     def top(i):
-        while parent[i] != i:
-            i = parent[i]
+        while root[i] != i:
+            i = root[i]
         return i
 
-    found = minhash_icws.near_classes(docs).collect()
-    assert len(found) == len(rows())
-    assert all(r.class_id == top(r.doc_id) for r in found if r.doc_id is not None)
-    assert sum(top(i) != i for i in ids) >= 10
-    kept = minhash_icws.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {i for i in ids if top(i) == i}
-    assert minhash_icws.near_classes(empty).count() == 0
+    for a in range(len(data)):
+        for b in range(a):
+            keys = weights[a].keys() | weights[b].keys()
+            low = sum(min(weights[a].get(g, 0), weights[b].get(g, 0)) for g in keys)
+            high = sum(max(weights[a].get(g, 0), weights[b].get(g, 0)) for g in keys)
+            if (data[a][1] or "") == (data[b][1] or "") or high and low / high >= 0.8:
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    return [top(i) for i in range(len(data))]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 500])
+def test_near_dedup(docs, empty, most):
+    data = [(r[0], r[1]) for r in rows()]
+    of = near_by_force(data, most)
+    classes = defaultdict(list)
+    for (doc_id, _), c in zip(data, of):
+        classes[c].append(doc_id)
+    found = minhash_icws.near_classes(docs, most=most).collect()
+    got = defaultdict(list)
+    for r in found:
+        got[r.class_key].append(r)
+    order = lambda i: (i is not None, i or 0)
+    assert Counter(tuple(sorted((r.doc_id for r in c), key=order)) for c in got.values()) == Counter(tuple(sorted(c, key=order)) for c in classes.values())
+    for c in got.values():
+        kept = [r for r in c if r.kept]
+        assert len(kept) == 1 and kept[0].doc_id == least([r.doc_id for r in c]) and {r.class_size for r in c} == {len(c)}
+        assert {r.class_id for r in c} == {kept[0].doc_id} or kept[0].doc_id is None
+    assert len(classes) <= len(data) - 10
+    if most > 500:
+        kept = minhash_icws.keep_one(docs)
+        assert kept.columns == docs.columns and kept.count() == len(classes)
+        assert minhash_icws.near_classes(empty).count() == 0 and minhash_icws.keep_one(empty).count() == 0
+
+
+def test_near_dedup_goes_by_row(spark):
+    """Rows that share a doc_id are documents of their own, and columns may have any name."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    frame = spark.createDataFrame([(1, a, 1, "x"), (5, a, 2, "x"), (5, b, 3, "x"), (9, c, 4, "x"), (9, c, 5, "x"), (None, b + " more", 6, "x")], "doc_id long, text string, locator long, row string").withColumn("__node", F.lit(7))
+    kept = minhash_icws.keep_one(frame)
+    assert kept.columns == frame.columns and sorted(r.text for r in kept.collect()) in (sorted([a, b, c]), sorted([a, b + " more", c]))
+    assert {r["__node"] for r in kept.collect()} == {7}
 
 
 def test_near_dedup_family_of_pairs(spark):
     """Near pairs on a common core share buckets with all of the family, and are found all the same."""
     core = [f"core{k}" for k in range(300)]
-    text = lambda i: " ".join([*core, *[f"pair{i // 2}x{k}" for k in range(5)], *[f"own{i}x{k}" for k in range(5)]])
-    found = minhash_icws.near_classes(spark.createDataFrame([(i, text(i)) for i in range(240)], "doc_id long, text string")).collect()
-    assert {r.doc_id: r.class_id for r in found} == {i: i // 2 * 2 for i in range(240)}
+    text = lambda i: " ".join([*core, *[f"pair{i // 2}x{k}" for k in range(9)], *[f"own{i}x{k}" for k in range(1)]])
+    data = [(i, text(i)) for i in range(120)]
+    of = near_by_force(data)
+    found = minhash_icws.near_classes(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len(set(of)) > 50 and {r.doc_id: r.class_id for r in found} == dict(enumerate(of))
 
 
 @pytest.mark.parametrize("order,vocabulary", [(2, 50), (2, 1 << 16), (3, 60)])
