@@ -1,21 +1,22 @@
 """Stupid-backoff scores, computed relationally.
 
-N-gram counts over all documents are a table hashed by n-gram; each document's n-grams are joined to it and the scores
-are summed per document. With c the counts, a word scores c(u w) / c(u) if the n-gram (u w) has been counted, and
-otherwise `alpha` times its score with a shorter history, down to c(w) divided by all words. Logs are summed; `mean_log`
-divides by the number of words.
+With c the counts over all documents, a word scores c(u v w) / c(u v) if the n-gram (u v w) has been counted, and otherwise
+`alpha` times its score with a shorter history, down to c(w) divided by all words. Logs are summed; `mean_log` divides by
+the number of words. The model holds all words and all n-grams, those counted once too; they are named by 64-bit hashes.
 
-The model holds all words and all n-grams, those counted once too. N-grams are named by a 64-bit hash of their words, so
-the tables grow with the corpus and nothing of them is on the driver. As the scored documents are the counted ones, every
-n-gram of theirs has been counted: only a first word, which has one start sign before it, uses a shorter history. The log
-of a quotient is a difference, so a document's score is a sum of logs of counts, with its histories negative, and one
-join gives all of them. An n-gram that is not in the stored table, which leaves out those counted once, has count 1.
+The log of a quotient is a difference, so a document's score is a sum of logs of counts of its n-grams, less those of their
+histories. As the scored documents are the counted ones, every n-gram of theirs has been counted: only a first word, which
+has one start sign before it, uses a shorter history.
 
-`vocabulary` asks for a smaller model instead: its words are that many most frequent ones, all others are the unknown
-word, which is counted and scored as a word, and n-grams counted less than `least` times are left out.
+All n-grams of a history stand in one hash partition, (history, word, document) a row, so the same shuffle gives the
+count tables of n-grams and of histories, and joins them to the n-grams of the documents: both counts are sums over the
+sorted partition. A history's last place in a text counts too, as a row without a word. The shuffle is done in `rounds`,
+each for its part of the histories; what one leaves on disk is gone before the next, so disk holds one part at a time.
 
-Heavy n-grams, those with more than a fixed share of all counts, are few by definition; they are broadcast and scored
-where the texts are read, so that no key is hot in the join. Every other n-gram goes through the join.
+Heavy n-grams and histories, those with more than a fixed share of all words, are no keys of that shuffle. Every part of a
+task's rows names those that are heavy in itself; whatever is heavy over all is heavy in one of them, so the ones named often
+enough are a list of bounded size that leaves none out. Their exact counts, from a pass over all texts, are broadcast. N-grams
+that are rarer than their heavy history are partitioned by their own name, and only the history's count is taken from there.
 
 Defined results: a null text is empty; a text without words has n_words 0, log_score 0 and a null mean. Rows of one
 doc_id are one document, null ids too. Words are runs of anything but white space. Very long texts are read whole.
@@ -24,126 +25,25 @@ Repeated rows add to the counts. An empty table gives an empty result. Other col
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import passing, small_batches, stored
 from .shingles import mixed, word_hashes
 
 ALPHA = 0.4
-ID_BITS = 17
-#: Heavy n-grams have at least this share of all counts, so there are 65,536 of them at most.
+#: Heavy names are counted with more than this share of all words, so there are about 131,072 of a kind at most.
 HEAVY_SHARE = 1 / (1 << 16)
+ROUNDS = 2
 _FLUSH = 1 << 21
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n over all documents; tasks add up first."""
-
-    def count(batches):
-        table: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(table), pa.string()), "n": pa.array(list(table.values()), pa.int64())})
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if text:
-                    table.update(text.split())
-                if len(table) > 300_000:
-                    yield out()
-                    table.clear()
-        yield out()
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class Vocabulary:
-    """Words 1.. by falling count; 0 is the unknown word and the last id the start sign."""
-
-    def __init__(self, rows: list[tuple[str, int]], words: int, documents: int) -> None:
-        self.ids = {w: i + 1 for i, (w, _) in enumerate(rows)}
-        self.start = len(rows) + 1
-        known = sum(n for _, n in rows)
-        self.counts = np.array([words - known, *[n for _, n in rows], documents], np.int64)
-        self.words = words
-
-    def encode(self, text: str | None, order: int) -> np.ndarray:
-        """Ids of the words, after order - 1 start signs."""
-        words = text.split() if text else []
-        out = np.zeros(len(words) + order - 1, np.int64)
-        out[: order - 1] = self.start
-        out[order - 1 :] = np.fromiter((self.ids.get(w, 0) for w in words), np.int64, len(words))
-        return out
-
-
-def grams(ids: np.ndarray, order: int, longest: int) -> np.ndarray:
-    """The n-gram of length `order` that ends at each word; `ids` begin with longest - 1 start signs."""
-    n = len(ids) - (longest - 1)
-    out = np.zeros(max(n, 0), np.int64)
-    for k in range(order):
-        at = longest - order + k
-        out = (out << ID_BITS) | ids[at : at + n]
-    return out
-
-
-def gram_counts(docs: DataFrame, shared, order: int, longest: int) -> DataFrame:
-    """gram, n for all n-grams of one length."""
-
-    def count(batches):
-        held, size = [], 0
-
-        def out():
-            gram, n = np.unique(np.concatenate(held), return_counts=True)
-            for at in range(0, len(gram), 1 << 17):
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(gram[at : at + (1 << 17)], pa.int64()), "n": pa.array(n[at : at + (1 << 17)], pa.int64())})
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.append(grams(shared.value.encode(text, longest), order, longest))
-                size += len(held[-1])
-                if size > _FLUSH:
-                    yield from out()
-                    held, size = [], 0
-        if held:
-            yield from out()
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def exploded(docs: DataFrame, shared, heavy, order: int) -> DataFrame:
-    """doc_id, gram, x: an n-gram that isn't heavy, and how often the document has it.
-
-    Two rows more carry a document's number of words (an odd negative gram) and the score of its heavy n-grams (an even
-    one). Their grams are spread below all real ones, so that they meet nothing in the join and are no hot key."""
-
-    def explode(batches):
-        known, score = heavy.value
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for first in range(0, len(texts), 64):
-                doc, gram, x = [], [], []
-                for k, (doc_id, text) in enumerate(zip(ids[first : first + 64], texts[first : first + 64])):
-                    every = grams(shared.value.encode(text, order), order, order)
-                    unique, n = np.unique(every, return_counts=True)
-                    at = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
-                    hit = known[at] == unique if len(known) else np.zeros(len(unique), bool)
-                    spread = ((k if doc_id is None else doc_id) * 0x9E3779B1) % (1 << 40)
-                    doc += [doc_id] * (int((~hit).sum()) + 2)
-                    gram += [unique[~hit], np.array([-2 * spread - 1, -2 * spread - 2])]
-                    x += [n[~hit], np.array([len(every), (score[at[hit]] * n[hit]).sum()])]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "gram": pa.array(np.concatenate(gram).astype(np.int64)), "x": pa.array(np.concatenate(x).astype(np.float64))})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(explode, "doc_id long, gram long, x double")
-
-
 #: The start sign, and odd factors of the places in an n-gram.
 _START = np.array([0x5851F42D4C957F2D], np.uint64)
 _PLACE = np.random.default_rng(31).integers(1, 1 << 63, 3, dtype=np.uint64) | np.uint64(1)
+#: In place of a word: the end of a text, an n-gram that is its own key, and what a document's score has besides.
+END, ALONE, FIXED, WORDS = -1, -2, -3, -4
 
 
 def hashed_words(text: str | None) -> np.ndarray:
@@ -151,139 +51,160 @@ def hashed_words(text: str | None) -> np.ndarray:
     return word_hashes(" ".join(text.split())) if text else np.zeros(0, np.uint64)
 
 
-def hashed_grams(words: np.ndarray, length: int) -> np.ndarray:
+def hashed_grams(words: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
     """Names of the n-grams of one length that end at each word; one start sign stands before the first word, so n-grams
-    of three begin with the second word."""
+    of three begin with the second word. Another salt gives other names."""
     ids = np.concatenate([_START, words]) if length > 1 else words
     n = max(0, len(ids) - length + 1)
-    out = np.full(n, length, np.uint64)
+    out = np.full(n, length + salt, np.uint64)
     for k in range(length):
         out += ids[k : k + n] * _PLACE[k]
     return mixed(out).view(np.int64)
 
 
-def hashed_counts(docs: DataFrame, order: int) -> DataFrame:
-    """gram, n for all n-grams of the lengths that scores need; tasks add up first."""
+def named(words: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The histories of a text's words, with one more at its end, and the n-grams that the words make of them, which have
+    names of their own.
+
+    A first word has the start sign as its history, whatever the order."""
+    start = mixed(_START).view(np.int64)
+    if not len(words):
+        return start, np.zeros(0, np.int64)
+    grams = hashed_grams(words, order, 8)
+    if order == 2:
+        return np.concatenate([start, hashed_grams(words, 1)]), grams
+    return np.concatenate([start, hashed_grams(words, 2)]), np.concatenate([hashed_grams(words[:1], 2, 8), grams])
+
+
+class Heavy:
+    """Names, ascending, and the logs of their counts."""
+
+    def __init__(self, name: np.ndarray, n: np.ndarray) -> None:
+        by = np.argsort(name)
+        self.name, self.log_n = name[by], np.log(n[by])
 
-    def count(batches):
+    def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which names are held, and the logs of their counts (0 for others)."""
+        if not len(self.name):
+            return np.zeros(len(names), bool), np.zeros(len(names))
+        at = np.minimum(np.searchsorted(self.name, names), len(self.name) - 1)
+        hit = self.name[at] == names
+        return hit, np.where(hit, self.log_n[at], 0.0)
+
+
+def summed(names: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate(names), return_counts=True)
+
+
+def heavy_names(texts: DataFrame, order: int, share: float) -> Heavy:
+    """The histories and n-grams with more than about 1.5 times `share` of all words, with their exact counts.
+
+    A name with that share has `share` in some parts, and those parts alone give it half of `share`; at most 2 / share names
+    reach that, of histories and n-grams each."""
+    spark = texts.sparkSession
+
+    def parts(batches):
         held, size = [], 0
 
         def out():
-            gram, n = np.unique(np.concatenate(held), return_counts=True)
-            for at in range(0, len(gram), 1 << 17):
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(gram[at : at + (1 << 17)]), "n": pa.array(n[at : at + (1 << 17)], pa.int64())})
+            least = max(2, math.ceil(share * size))
+            for kind in (0, 1):
+                name, n = summed([pair[kind] for pair in held])
+                often = n >= least
+                yield pa.RecordBatch.from_pydict({"name": pa.array(name[often]), "n": pa.array(n[often], pa.int64()), "words": pa.array([0] * int(often.sum()), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"name": pa.array([None], pa.int64()), "n": pa.array([0], pa.int64()), "words": pa.array([size], pa.int64())})
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                words = hashed_words(text)
-                held += [hashed_grams(words, k) for k in (order, order - 1)]
-                size += 2 * len(words)
+                held.append(named(hashed_words(text), order))
+                size += len(held[-1][1])
                 if size > _FLUSH:
                     yield from out()
                     held, size = [], 0
         if held:
             yield from out()
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "gram long, n long")
-    return rows.repartition("gram").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = stored(texts.mapInArrow(parts, "name long, n long, words long").groupBy("name").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "often")
+    words = found.where("name is null").agg(F.sum("words")).head()[0] or 0
+    chosen = found.where(F.col("name").isNotNull() & (F.col("n") >= max(2, math.ceil(share * words / 2)))).select("name").toArrow()
+    names = np.sort(chosen.column("name").to_numpy())
+    shared = spark.sparkContext.broadcast(names)
 
+    def exact(batches):
+        known = shared.value
+        total = np.zeros(len(known), np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                if len(known):
+                    every = np.concatenate(named(hashed_words(text), order))
+                    at = np.minimum(np.searchsorted(known, every), len(known) - 1)
+                    total += np.bincount(at[known[at] == every], minlength=len(known))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"name": pa.array(known[seen]), "n": pa.array(total[seen], pa.int64())})
 
-def parts(docs: DataFrame, heavy, order: int, documents: int, alpha: float) -> DataFrame:
-    """doc_id, gram, x, words: how often the log of an n-gram's count enters a document's score, but for heavy n-grams.
+    counts = texts.mapInArrow(exact, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).toArrow()
+    return Heavy(counts.column("name").to_numpy(), counts.column("n").to_numpy())
 
-    One row more of a document has its number of words, and as x what needs no join: its score for the heavy n-grams, the
-    start and `alpha`. Its gram is a hash of the document, so that it is no hot key."""
+
+def exploded(docs: DataFrame, shared, order: int, alpha: float, part: int, rounds: int) -> DataFrame:
+    """key, word, doc_id, x: how often a document has an n-gram of one part of the keys.
+
+    Two rows more carry its number of words, and as x what needs no other document: the logs of heavy names, and `alpha`.
+    Their key is a hash of the document, so that it is no hot key."""
 
     def explode(batches):
-        known, log_n = heavy.value
+        heavy = shared.value
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for first in range(0, len(texts), 64):
-                doc, gram, x, count = [], [], [], []
+                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                doc = []
                 for k, (doc_id, text) in enumerate(zip(ids[first : first + 64], texts[first : first + 64])):
                     words = hashed_words(text)
-                    top, history = hashed_grams(words, order), hashed_grams(words, order - 1)[:-1]
-                    begin = hashed_grams(words[:1], 2) if order == 3 else top[:0]
-                    unique, where = np.unique(np.concatenate([top, begin, history]), return_inverse=True)
-                    sign = np.ones(len(where))
-                    sign[len(top) + len(begin) :] = -1
-                    times = np.bincount(where, sign, len(unique))
-                    at = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
-                    hit = known[at] == unique if len(known) else np.zeros(len(unique), bool)
-                    fixed = float((log_n[at[hit]] * times[hit]).sum()) + (((order - 2) * math.log(alpha) - math.log(documents)) if len(words) else 0.0)
-                    sent = ~hit & (times != 0)
-                    own = mixed(np.array([k if doc_id is None else doc_id], np.int64).view(np.uint64)).view(np.int64)
-                    doc += [doc_id] * (int(sent.sum()) + 1)
-                    gram += [unique[sent], own]
-                    x += [times[sent], np.array([fixed])]
-                    count += [None] * int(sent.sum()) + [len(words)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "gram": pa.array(np.concatenate(gram)), "x": pa.array(np.concatenate(x)), "words": pa.array(count, pa.int32())})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(explode, "doc_id long, gram long, x double, words int")
-
-
-def whole_model(docs: DataFrame, order: int, alpha: float, heavy_share: float) -> DataFrame:
-    spark = docs.sparkSession
-    small_batches(spark)
-    table = stored(hashed_counts(docs, order).where("n > 1"), "counts")
-    facts = docs.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length(F.col("text").cast("string"))).alias("characters")).head()
-    # About six characters a word: the limit only says what is broadcast, so it needs no exact count.
-    limit = max(2, math.ceil((facts.characters or 0) / 6 * heavy_share))
-    heavy = table.where(F.col("n") >= limit).toArrow()
-    by = np.argsort(heavy.column("gram").to_numpy())
-    pair = spark.sparkContext.broadcast((heavy.column("gram").to_numpy()[by], np.log(heavy.column("n").to_numpy()[by])))
-    rows = parts(docs, pair, order, max(facts.documents, 1), alpha)
-    hits = rows.join(table.select("gram", F.log(F.col("n").cast("double")).alias("log_n")).hint("shuffle_hash"), "gram", "left")
-    value = F.when(F.col("words").isNull(), F.col("x") * F.coalesce("log_n", F.lit(0.0))).otherwise(F.col("x"))
-    out = hits.groupBy("doc_id").agg(F.sum(F.coalesce("words", F.lit(0)).cast("long")).alias("n_words"), F.sum(value).alias("log_score"))
-    return out.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log"))
-
-
-def score(docs: DataFrame, *, order: int = 3, vocabulary: int | None = None, least: int = 2, alpha: float = ALPHA, heavy_share: float = HEAVY_SHARE) -> DataFrame:
-    """doc_id, n_words, log_score, mean_log for every document; `least` is of models with a vocabulary."""
-    if not 2 <= order <= 3 or (vocabulary or 0) + 2 > 1 << ID_BITS:
-        raise ValueError("order is 2 or 3, and ids have 17 bits")
-    if vocabulary is None:
-        return whole_model(docs, order, alpha, heavy_share)
+                    history, gram = named(words, order)
+                    deep, log_history = heavy.find(history)
+                    known, log_gram = heavy.find(gram)
+                    alone = deep[: len(gram)] & ~known
+                    key = np.concatenate([np.where(alone, gram, history[: len(gram)]), history[-1:]])
+                    word = np.concatenate([np.where(alone, ALONE, (words >> np.uint64(33)).astype(np.int64)), np.full(len(history[-1:]), END)])
+                    sent = np.concatenate([~known, ~deep[-1:]]) & ((key.view(np.uint64) >> np.uint64(40)) % np.uint64(rounds) == np.uint64(part))
+                    names, times = np.unique(np.stack([key[sent], word[sent]]), axis=1, return_counts=True) if sent.any() else (np.zeros((2, 0), np.int64), np.zeros(0))
+                    out.append((names[0], names[1], times))
+                    size = len(times)
+                    if part == 0:
+                        fixed = log_gram.sum() - log_history[: len(gram)].sum() + ((order - 2) * math.log(alpha) if len(words) else 0.0)
+                        own = mixed(np.array([k if doc_id is None else doc_id], np.int64).view(np.uint64)).view(np.int64)
+                        out.append((np.repeat(own, 2), np.array([FIXED, WORDS]), np.array([fixed, len(words)])))
+                        size += 2
+                    doc += [doc_id] * size
+                keys, words_, x = (np.concatenate(c) for c in zip(*out))
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.astype(np.int64)), "word": pa.array(words_.astype(np.int32)), "doc_id": pa.array(doc, pa.int64()), "x": pa.array(x.astype(np.float64))})
+
+    return docs.mapInArrow(explode, "key long, word int, doc_id long, x double")
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """doc_id, n_words, log_score: the share of each document in one part of the keys."""
+    counted = F.when(F.col("word") >= ALONE, F.col("x"))
+    of_key, of_gram = Window.partitionBy("key"), Window.partitionBy("key", "word")
+    rows = rows.repartition("key").withColumns({"m": F.sum(counted).over(of_key), "n": F.sum(counted).over(of_gram)})
+    value = F.when(F.col("word") >= 0, F.col("x") * (F.log("n") - F.log("m"))).when(F.col("word") == ALONE, F.col("x") * F.log("n")).when(F.col("word") == FIXED, F.col("x"))
+    words = F.when(F.col("word") == WORDS, F.col("x").cast("long"))
+    return rows.where(F.col("word") != END).groupBy("doc_id").agg(F.sum(words).alias("n_words"), F.sum(value).alias("log_score"))
+
+
+def score(docs: DataFrame, *, order: int = 3, alpha: float = ALPHA, heavy_share: float = HEAVY_SHARE, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, n_words, log_score, mean_log for every document."""
+    if not 2 <= order <= 3:
+        raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
     small_batches(spark)
-    every = stored(word_counts(docs), "words")
-    words = every.agg(F.sum("n")).head()[0] or 0
-    top = every.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    documents = docs.count()
-    model = Vocabulary([(r.word, r.n) for r in top], words, documents)
-    shared = spark.sparkContext.broadcast(model)
-    log_1 = np.log(np.maximum(model.counts, 1)) - math.log(max(words, 1))
-    # Scores of single words by id: a table of fixed size.
-    singles = spark.createDataFrame([(i, float(x), math.log(max(int(n), 1))) for i, (x, n) in enumerate(zip(log_1, model.counts))], "id long, log_1 double, log_n double")
-    mask = (1 << ID_BITS) - 1
-    tables = {}
-    for n in range(order, 1, -1):
-        tables[n] = stored(gram_counts(docs, shared, n, order).where(F.col("n") >= least), f"grams{n}")
-    scored = {}
-    for n in range(order, 1, -1):
-        history = F.shiftright("gram", ID_BITS)
-        if n == 2:
-            at = tables[2].withColumn("id", history).join(F.broadcast(singles.select("id", "log_n")), "id")
-        else:
-            shorter = tables[n - 1].select(F.col("gram").alias("id"), F.log("n").alias("log_n"))
-            at = tables[n].withColumn("id", history).join(shorter, "id")
-        scored[n] = stored(at.select("gram", "n", (F.log(F.col("n").cast("double")) - F.col("log_n")).alias("s")), f"scores{n}")
-    limit = max(1, math.ceil(words * heavy_share))
-    heavy = scored[order].where(F.col("n") >= limit).select("gram", "s").toArrow()
-    by = np.argsort(heavy.column("gram").to_numpy())
-    pair = spark.sparkContext.broadcast((heavy.column("gram").to_numpy()[by], heavy.column("s").to_numpy()[by]))
-    rows = exploded(docs, shared, pair, order)
-    hits = rows.join(scored[order].select("gram", F.col("s").alias("hit")), "gram", "left")
-    log_a, real = math.log(alpha), F.col("gram") >= 0
-    if order == 3:
-        # What needs no shorter n-gram is spread below all of them.
-        short = F.when(F.col("hit").isNull() & real, F.col("gram").bitwiseAND((1 << 2 * ID_BITS) - 1)).otherwise(-1 - F.pmod(F.xxhash64("doc_id", "gram"), F.lit(1 << 40)))
-        hits = hits.withColumn("short", short).join(scored[2].select(F.col("gram").alias("short"), F.col("s").alias("hit2")), "short", "left")
-        hits = hits.withColumn("hit", F.coalesce("hit", F.col("hit2") + log_a))
-    hits = hits.withColumn("id", F.when(real, F.col("gram").bitwiseAND(mask)).otherwise(0)).join(F.broadcast(singles.select("id", "log_1")), "id")
-    value = F.coalesce(F.col("hit"), F.col("log_1") + (order - 1) * log_a)
-    part = F.when(real, F.col("x") * value).when(F.col("gram") % 2 == 0, F.col("x")).otherwise(0.0)
-    words_of = F.when(~real & (F.col("gram") % 2 != 0), F.col("x").cast("long")).otherwise(0)
-    out = hits.groupBy("doc_id").agg(F.sum(words_of).alias("n_words"), F.sum(part).alias("log_score"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with passing(spark):
+        shared = spark.sparkContext.broadcast(heavy_names(narrow.select("text"), order, heavy_share))
+        parts = [stored(scored(exploded(narrow, shared, order, alpha, k, rounds)), f"scores{k}", lasting=True) for k in range(rounds)]
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.union(more)
+    out = every.groupBy("doc_id").agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n_words"), F.coalesce(F.sum("log_score"), F.lit(0.0)).alias("log_score"))
     return out.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log"))

@@ -184,34 +184,6 @@ def test_near_dedup_family_of_pairs(spark):
     assert len(set(of)) > 50 and {r.doc_id: r.class_id for r in found} == dict(enumerate(of))
 
 
-@pytest.mark.parametrize("order,vocabulary", [(2, 50), (2, 1 << 16), (3, 60)])
-def test_backoff(docs, empty, order, vocabulary):
-    data = [(r[0], (r[1] or "").split()) for r in rows()]
-    single = Counter(w for _, t in data for w in t)
-    total = sum(single.values())
-    known = {w for w, _ in sorted(single.items(), key=lambda x: (-x[1], x[0]))[:vocabulary]}
-    coded = [(i, ["<s>"] * (order - 1) + [w if w in known else "<u>" for w in t]) for i, t in data]
-    counts = Counter(tuple(t[j - k + 1 : j + 1]) for _, t in coded for j in range(order - 1, len(t)) for k in range(1, order + 1))
-    counts["<s>",] = len(data)
-    want = defaultdict(lambda: [0, 0.0])
-    for i, t in coded:
-        for j in range(order - 1, len(t)):
-            back = 0
-            for k in range(order, 0, -1):
-                gram = tuple(t[j - k + 1 : j + 1])
-                if k == 1 or counts[gram] >= 2 and counts[gram[:-1]]:
-                    want[i][1] += back * math.log(0.4) + math.log(counts[gram] / (counts[gram[:-1]] if k > 1 else total))
-                    break
-                back += 1
-        want[i][0] += len(t) - order + 1
-    found = backoff_lm.score(docs, order=order, vocabulary=vocabulary, heavy_share=1e-2).collect()
-    assert {r.doc_id for r in found} == set(want)
-    for r in found:
-        assert r.n_words == want[r.doc_id][0] and abs(r.log_score - want[r.doc_id][1]) < 1e-6 * (1 + abs(want[r.doc_id][1]))
-    if order == 2:
-        assert backoff_lm.score(empty, order=order, vocabulary=vocabulary).count() == 0
-
-
 @pytest.mark.parametrize("order", [2, 3])
 def test_backoff_whole(docs, empty, order):
     data = [(r[0], ["<s>", *(r[1] or "").split()]) for r in rows()] + [(1000 + i, ["<s>", f"rare{i}", "twice"]) for i in range(3)]
@@ -224,8 +196,8 @@ def test_backoff_whole(docs, empty, order):
             gram = tuple(t[j - k + 1 : j + 1])
             want[i][1] += (order - k) * math.log(0.4) + math.log(counts[gram] / counts[gram[:-1]])
         want[i][0] += len(t) - 1
-    for share in (backoff_lm.HEAVY_SHARE, 1e-2):
-        found = backoff_lm.score(frame, heavy_share=share, **({} if order == 3 else {"order": order})).collect()
+    for share, rounds in ((backoff_lm.HEAVY_SHARE, 2), (2e-3, 1), (1.0, 3)):  # almost all names heavy, some, none
+        found = backoff_lm.score(frame, heavy_share=share, rounds=rounds, **({} if order == 3 else {"order": order})).collect()
         assert {r.doc_id for r in found} == set(want) and len(found) == len(want)
         for r in found:
             assert r.n_words == want[r.doc_id][0] and abs(r.log_score - want[r.doc_id][1]) < 1e-6 * (1 + abs(want[r.doc_id][1]))
