@@ -168,8 +168,9 @@ def exploded(docs: DataFrame, shared, order: int, alpha: float, part: int, round
                     key = np.concatenate([np.where(alone, gram, history[: len(gram)]), history[-1:]])
                     word = np.concatenate([np.where(alone, ALONE, (words >> np.uint64(33)).astype(np.int64)), np.full(len(history[-1:]), END)])
                     sent = np.concatenate([~known, ~deep[-1:]]) & ((key.view(np.uint64) >> np.uint64(40)) % np.uint64(rounds) == np.uint64(part))
-                    names, times = np.unique(np.stack([key[sent], word[sent]]), axis=1, return_counts=True) if sent.any() else (np.zeros((2, 0), np.int64), np.zeros(0))
-                    out.append((names[0], names[1], times))
+                    key, word = key[sent], word[sent]
+                    _, at, times = np.unique(mixed(key.view(np.uint64) + word.astype(np.uint64)), return_index=True, return_counts=True)
+                    out.append((key[at], word[at], times))
                     size = len(times)
                     if part == 0:
                         fixed = log_gram.sum() - log_history[: len(gram)].sum() + ((order - 2) * math.log(alpha) if len(words) else 0.0)

@@ -5,13 +5,17 @@ gives each source an exact quota of blocks: whole passes over all its blocks, an
 whose words come nearest to what is left. A binary tree over the output shards splits the vector of quotas: at each node
 the left half's share of every source is drawn from the multivariate hypergeometric distribution, so each shard gets an
 exact quota of each source. Shards then take disjoint runs of the permuted blocks, and rows are shuffled by a hash within
-their shard. Data stay in the plan; the driver handles one row a source, and quotas of sources by shards.
+their shard. What a document gives to the mix are its draws, (epoch, shard) each, and nothing else decides on it. Data stay
+in the plan; the driver handles one row a source, and quotas of sources by shards. Tables of sources and blocks are
+broadcast below a checked number of rows, and joined by a shuffle beyond.
 
 Targets: sources by code point, null last, weigh 5, 2, 1, repeating, and share 150% of all words; a target stops at twice
 its source's words and the excess is shared again by weight until none is above.
 
-Defined results: a null or blank text has size 0 and may be taken too. Null is a source of its own. Repeated rows share a
-block and are taken equally often. An empty table gives an empty mix. Other columns are ignored or, in `mixed`, kept."""
+Defined results: a null or blank text has size 0 and may be taken too. Null is a source of its own. A block is chosen by
+doc_id and text, so null doc_ids are spread; rows that repeat both share a block and are taken equally often. An empty table
+gives an empty mix. Other columns are ignored or, in `mixed`, kept, and there the three columns added take underscores at
+their ends until they clash with none."""
 
 from __future__ import annotations
 
@@ -21,14 +25,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import passing, row_of, scratch_path, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 BLOCKS = 1024
-#: Up to so many blocks (about 50 bytes each) the block table is broadcast; beyond, rows are shuffled to it.
-BROADCAST_BLOCKS = 60_000
+#: Up to so many rows (blocks of about 50 bytes, sources of about 300) a table is broadcast; beyond, rows are shuffled to it.
+BROADCAST_ROWS = 60_000
+_LITERAL_ROWS = 10_000
 
 
 def words(text: Column) -> Column:
@@ -83,20 +88,31 @@ def split_tree(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
 
 
 def local_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """A small table from the driver, as a literal of the plan."""
-    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
+    """A table from the driver: a literal of the plan if it is small, else stored part by part."""
+    literal = lambda part: spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(part)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
+    if len(rows) <= _LITERAL_ROWS:
+        return literal(rows)
+    path = scratch_path(spark, "rows")
+    for at in range(0, len(rows), _LITERAL_ROWS):
+        literal(rows[at : at + _LITERAL_ROWS]).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def beside(rows: DataFrame, table: DataFrame, count: int, *on: str) -> DataFrame:
+    """rows joined with a table of `count` rows."""
+    return rows.join(F.broadcast(table) if count <= BROADCAST_ROWS else table.hint("merge"), list(on))
 
 
 def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
-def block_of(doc_id: Column, blocks: int, seed: int) -> Column:
-    return (hashed(F.coalesce(doc_id.cast("string"), F.lit("null")), seed=seed) % blocks).cast("int")
+def block_of(doc_id: Column, text: Column, blocks: int, seed: int) -> Column:
+    return (hashed(F.coalesce(doc_id.cast("string"), F.lit("null")), F.xxhash64(text), seed=seed) % blocks).cast("int")
 
 
-def plan_mix(sized: DataFrame, *, shards: int, blocks: int, seed: int, weights: tuple[float, ...]) -> tuple[DataFrame, DataFrame, int]:
-    """From (source_key, block, size): the block table with its draws, the source table, and the number of blocks.
+def plan_mix(sized: DataFrame, *, shards: int, blocks: int, seed: int, weights: tuple[float, ...]) -> tuple[DataFrame, DataFrame, int, int]:
+    """From (source_key, block, size): the block table with its draws, the source table, and the rows of both.
 
     A block's `draws` is an array of (epoch, shard)."""
     spark = sized.sparkSession
@@ -107,11 +123,10 @@ def plan_mix(sized: DataFrame, *, shards: int, blocks: int, seed: int, weights:
     goal = targets([r.size for r in found], [float(weights[i % len(weights)]) for i in range(len(found))])
     passes = [int(g // r.size) if r.size else 0 for g, r in zip(goal, found)]
     rows = [{"source_key": r.source_key, "source_size": r.size, "target": g, "n": r.n, "passes": p, "rest": g - p * r.size} for r, g, p in zip(found, goal, passes)]
-    kinds = "source_key string, source_size bigint, target double, n bigint, passes int, rest double"
-    sources = local_rows(spark, rows, kinds)
+    sources = local_rows(spark, rows, "source_key string, source_size bigint, target double, n bigint, passes int, rest double")
     order = Window.partitionBy("source_key").orderBy(hashed(F.col("source_key"), F.col("block"), seed=seed + 1), "block")
     ranked = table.select("*", (F.row_number().over(order) - 1).alias("rank"), F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
-    ranked = stored(ranked.join(F.broadcast(sources.select("source_key", "n", "passes", "rest")), "source_key"), "ranked")
+    ranked = stored(beside(ranked, sources.select("source_key", "n", "passes", "rest"), len(rows), "source_key"), "ranked")
     # Of the numbers of blocks of the last pass, the one whose words come nearest to the rest; none is one of them.
     miss = F.struct(F.abs(F.col("cum") - F.col("rest")), (F.col("rank") + 1).alias("take"))
     nearest = {r.source_key: (r.best[0], r.best[1], r.rest) for r in ranked.groupBy("source_key").agg(F.min(miss).alias("best"), F.first("rest").alias("rest")).collect()}
@@ -120,45 +135,61 @@ def plan_mix(sized: DataFrame, *, shards: int, blocks: int, seed: int, weights:
     split = split_tree(quotas, shards, seed)
     ends = [{"source_key": r.source_key, "quota": q, "ends": np.cumsum(s).tolist()} for r, q, s in zip(found, quotas, split)]
     limits = local_rows(spark, ends, "source_key string, quota bigint, ends array<bigint>")
-    drawn = ranked.join(F.broadcast(limits), "source_key")
+    drawn = beside(ranked, limits, len(ends), "source_key")
     place = lambda e: F.col("rank") + e * F.col("n")
     epochs = F.filter(F.sequence(F.lit(0), F.lit(int(MOST))), lambda e: place(e) < F.col("quota"))
-    draws = F.transform(epochs, lambda e: F.struct(e.alias("epoch"), F.size(F.filter("ends", lambda x: x <= place(e))).alias("shard")))
-    out = stored(drawn.select("source_key", "block", draws.alias("draws")), "draws")
-    return out, sources, sum(r.n for r in found)
-
-
-def sized_rows(docs: DataFrame, blocks: int, seed: int, *more: str) -> DataFrame:
-    return docs.select("doc_id", source_key(F.col("source")).alias("source_key"), block_of(F.col("doc_id"), blocks, seed).alias("block"), words(F.col("text").cast("string")).alias("size"), *more)
+    shard_at = lambda e: F.size(F.filter("ends", lambda x: x <= place(e)))
+    # Only places inside a shard's run of blocks are drawn.
+    draws = F.filter(F.transform(epochs, lambda e: F.struct(e.alias("epoch"), shard_at(e).alias("shard"))), lambda d: d["shard"] < shards)
+    out = stored(drawn.select("source_key", "block", draws.alias("draws")), "draws", lasting=True)
+    return out, sources, sum(r.n for r in found), len(found)
 
 
-def joined(rows: DataFrame, table: DataFrame, count: int) -> DataFrame:
-    small = F.broadcast(table) if count <= BROADCAST_BLOCKS else table
-    return rows.join(small, ["source_key", "block"])
+def sized_rows(docs: DataFrame, blocks: int, seed: int, *more: Column) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(source_key(F.col("source")).alias("source_key"), block_of(F.col("doc_id"), text, blocks, seed).alias("block"), words(text).alias("size"), *more)
 
 
 def mix_counts(docs: DataFrame, *, shards: int = 16, blocks: int = BLOCKS, seed: int = 11, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken and the number of draws of every document."""
-    sized = stored(sized_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), blocks, seed), "sized")
-    table, sources, count = plan_mix(sized, shards=shards, blocks=blocks, seed=seed, weights=weights)
-    out = joined(sized, table, count).join(F.broadcast(sources), "source_key")  # one row a source
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"), F.size("draws").alias("n_draws"))
+    """doc_id, size, source_size, target, taken, and the draws (epoch, shard) of every document."""
+    with passing(docs.sparkSession):
+        sized = stored(sized_rows(docs, blocks, seed, F.col("doc_id").cast("long").alias("doc_id")), "sized", lasting=True)
+        table, sources, count, some = plan_mix(sized, shards=shards, blocks=blocks, seed=seed, weights=weights)
+    out = beside(beside(sized, table, count, "source_key", "block"), sources, some, "source_key")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"), "draws")
 
 
 def mixed(docs: DataFrame, *, shards: int = 16, blocks: int = BLOCKS, seed: int = 11, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is drawn, with mix_epoch, mix_shard and mix_order.
 
-    Within a shard, rows are to be read by mix_order; `write_mix` stores them so."""
-    sized = stored(sized_rows(docs, blocks, seed).select("source_key", "block", "size"), "sized")
-    table, _, count = plan_mix(sized, shards=shards, blocks=blocks, seed=seed, weights=weights)
-    names = docs.columns
-    keyed = docs.select("*", source_key(F.col("source")).alias("__key"), block_of(F.col("doc_id"), blocks, seed).alias("__block"))
-    small = F.broadcast(table) if count <= BROADCAST_BLOCKS else table
-    table_cols = small.withColumnsRenamed({"source_key": "__key", "block": "__block", "draws": "__draws"})
-    rows = keyed.join(table_cols, ["__key", "__block"]).select(*[f"`{c}`" for c in names], F.explode("__draws").alias("__draw"))
-    return rows.select(*[f"`{c}`" for c in names], F.col("__draw.epoch").alias("mix_epoch"), F.col("__draw.shard").alias("mix_shard"), hashed(F.col("doc_id"), F.col("__draw.epoch"), seed=seed + 2).alias("mix_order"))
+    Within a shard, rows are to be read by mix_order; `in_order` puts them so, and `write_mix` stores them so."""
+    with passing(docs.sparkSession):
+        sized = stored(sized_rows(docs, blocks, seed), "sized")
+        table, _, count, _ = plan_mix(sized, shards=shards, blocks=blocks, seed=seed, weights=weights)
+    names = mix_names(docs.columns)
+    text = F.col("text").cast("string")
+    keyed = docs.select(row_of(docs.columns), source_key(F.col("source")).alias("source_key"), block_of(F.col("doc_id"), text, blocks, seed).alias("block"))
+    rows = beside(keyed, table, count, "source_key", "block").select("row", F.explode("draws").alias("draw"))
+    order = hashed(F.col("row.doc_id"), F.xxhash64(F.col("row.text").cast("string")), F.col("draw.epoch"), seed=seed + 2)
+    return rows.select("row.*", F.col("draw.epoch").alias(names[0]), F.col("draw.shard").alias(names[1]), order.alias(names[2]))
+
+
+def mix_names(taken: list[str]) -> list[str]:
+    """The names of the columns that `mixed` adds to those taken."""
+    out = []
+    for name in ("mix_epoch", "mix_shard", "mix_order"):
+        while name.lower() in {t.lower() for t in taken}:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def in_order(mix: DataFrame) -> DataFrame:
+    """A mix shard by shard, each in its own random order: over all partitions, and inside of them."""
+    _, shard, order = mix.columns[-3:]
+    return mix.repartitionByRange(F.col(f"`{shard}`"), F.col(f"`{order}`")).sortWithinPartitions(F.col(f"`{shard}`"), F.col(f"`{order}`"))
 
 
 def write_mix(mix: DataFrame, path: str) -> None:
     """One folder a shard, rows in the shard's own random order."""
-    mix.repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order").write.partitionBy("mix_shard").parquet(path)
+    in_order(mix).write.partitionBy(mix.columns[-2]).parquet(path)

@@ -1,12 +1,19 @@
 """Packing documents into training sequences by the sum-of-squares rule.
 
-Documents are turned into token ids and an end id; only those longer than a sequence are cut. Pieces are dealt by a hash
-to shards of a few thousand, and each shard is packed by itself: longest piece first, every piece goes to the open
-sequence for which the sum over residual gaps of the squared number of open sequences with that gap becomes smallest;
-ties go to the smallest gap. A new sequence is opened only for a piece that fits no open one: the rule for unknown future
-pieces would also open one when that keeps the sum smaller, which with all pieces at hand took about 3% more sequences.
-After that the sequence with the largest gap is dissolved as long as its pieces fit the gaps of others. A shard's waste is a sequence or two, so shards
-cost next to nothing and the work spreads over any number of tasks.
+Documents are turned into token ids and an end id; only those longer than a sequence are cut. Pieces are dealt to shards
+of a few thousand, and each shard is packed by itself: longest piece first, every piece goes to the open sequence for which
+the sum over residual gaps of the squared number of open sequences with that gap becomes smallest; ties go to the smallest
+gap. Pieces that come one by one (`online`) are packed in the order of their coming, and there a new sequence is one of the
+choices, as the rule for unknown future pieces has it. With all pieces of a shard at hand that would only cost sequences, so a
+new one is opened for a piece that fits no open one, and in the end the emptiest sequence is dissolved as long as the rule
+finds places for all of its pieces. A shard's waste is a sequence or two, so shards cost next to nothing and the work
+spreads over any number of tasks.
+
+Two pieces of one doc_id, such as the copies that a mix takes, share a sequence only if no other has room and no new one is
+to be opened; with null doc_ids that isn't looked at.
+
+Rows are dealt in turn as they come to a task, whatever their ids, so repeats and nulls spread evenly. With `by_place` a
+shard is a run of rows as stored instead: the order of a mix then decides what is packed together.
 
 Defined results: a null text counts as empty and gives the end id alone. Repeated rows are packed each. Very long texts
 give many full pieces. An empty table gives an empty result. Other columns are ignored."""
@@ -15,14 +22,15 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, located, stored
 
 LENGTH = 2048
 SHARD_PIECES = 8192
@@ -126,79 +134,114 @@ def chunks(vocabulary: str, most: int = CACHE) -> Chunks:
     return _chunks[vocabulary, most]
 
 
-def cut(docs: DataFrame, vocabulary: str, *, length: int = LENGTH, end_id: int = 0, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary) of every piece."""
+def cut(docs: DataFrame, vocabulary: str, *, length: int = LENGTH, end_id: int = 0, with_ids: bool = False, cache: int = CACHE, run: int | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary) of every piece, and `deal`.
+
+    deal numbers the rows of a task as they come, or with `run` names the run of so many stored rows that a row is in."""
 
     def over(batch):
         get = chunks(vocabulary, cache).many
         end = np.array([end_id], "<u4").tobytes()
         texts = batch.column("text").to_pylist()
         doc_ids = batch.column("doc_id").to_pylist()
+        deals = batch.column("deal").to_pylist() if run else None
         for first in range(0, len(texts), 128):
             rows = []
-            for doc_id, data in zip(doc_ids[first : first + 128], get([t or "" for t in texts[first : first + 128]])):
+            for k, data in enumerate(get([t or "" for t in texts[first : first + 128]]), first):
                 data += end
                 for piece, at in enumerate(range(0, len(data), 4 * length)):
                     part = data[at : at + 4 * length]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), *((part,) if with_ids else ())))
+                    rows.append((doc_ids[k], piece, at // 4, len(part) // 4, zlib.crc32(part), deals[k] if deals else number(), *((part,) if with_ids else ())))
             columns = list(zip(*rows))
-            kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), **({"ids": pa.binary()} if with_ids else {})}
+            kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "deal": pa.int64(), **({"ids": pa.binary()} if with_ids else {})}
             yield {name: pa.array(column, kind) for (name, kind), column in zip(kinds.items(), columns)}
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), over, schema)
+    state: dict[str, int] = {}  # of one task, which gets its own copy
+
+    def number() -> int:
+        state["next"] = state.get("next", TaskContext.get().partitionId() * 0x9E3779B1) + 1
+        return state["next"]
+
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long" + (", ids binary" if with_ids else "")
+    named = [F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")]
+    if run:
+        deal = F.xxhash64("locator.file", F.floor(F.col("locator.at") / run)).alias("deal")
+        return arrow_map(located(docs).select(*named, deal), over, schema)
+    return arrow_map(docs.select(F.struct("doc_id", "text").alias("row")).select(*named), over, schema)
 
 
-def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence number and offset of each piece; lengths come longest first."""
+def place(lengths: np.ndarray, capacity: int, owners: list | None = None, online: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence number and offset of each piece, in the order given (longest first, or as they come if `online`).
+
+    owners: for each piece None, or what no two pieces of a sequence should have in common."""
     count = np.zeros(capacity + 1, np.int64)  # open sequences by residual gap
     open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
     gap: list[int] = []
     inside: list[list[int]] = []
+    has: list[set] = []
+    owners = owners or [None] * len(lengths)
 
-    def put(i: int, g: int, size: int) -> None:
-        if g < 0:
-            gap.append(capacity - size)
-            inside.append([i])
-            b = len(gap) - 1
+    def choose(size: int, owner) -> int | None:
+        """The open sequence that the rule gives to a piece; None for a new one."""
+        fits = np.flatnonzero(count[size:capacity]) + size
+        if not len(fits):
+            return None
+        change = 2 - 2 * count[fits] + 2 * count[fits - size]
+        change[fits == size] = 1 - 2 * count[size]  # a full sequence has no gap that counts
+        best = int(change.argmin())
+        if online and size < capacity and 2 * count[capacity - size] + 1 < change[best]:
+            return None
+        b = open_at[int(fits[best])][-1]
+        if owner is None or owner not in has[b]:
+            return b
+        for k in np.argsort(change, kind="stable"):
+            for b in reversed(open_at[int(fits[k])]):
+                if owner not in has[b]:
+                    return b
+        return None
+
+    def take(b: int) -> None:
+        if open_at[gap[b]][-1] == b:
+            open_at[gap[b]].pop()
         else:
-            b = open_at[g].pop()
-            count[g] -= 1
-            gap[b] -= size
-            inside[b].append(i)
+            open_at[gap[b]].remove(b)
+        count[gap[b]] -= 1
+
+    def show(b: int) -> None:
         if gap[b] > 0:
             open_at[gap[b]].append(b)
             count[gap[b]] += 1
 
     for i, size in enumerate(lengths.tolist()):
-        where = -1
-        fits = np.flatnonzero(count[size:capacity]) + size
-        if len(fits):
-            change = 2 - 2 * count[fits] + 2 * count[fits - size]
-            change[fits == size] = 1 - 2 * count[size]  # a full sequence has no gap that counts
-            where = int(fits[change.argmin()])
-        put(i, where, size)
-    while True:  # dissolve the emptiest sequence while its pieces fit the gaps of others
+        b = choose(size, owners[i])
+        if b is None:
+            b = len(gap)
+            gap.append(capacity)
+            inside.append([])
+            has.append(set())
+        else:
+            take(b)
+        gap[b] -= size
+        inside[b].append(i)
+        if owners[i] is not None:
+            has[b].add(owners[i])
+        show(b)
+    while not online:  # dissolve the emptiest sequence while the rule finds places for its pieces
         widest = np.flatnonzero(count)
         if not len(widest):
             break
-        b = open_at[g := int(widest[-1])][-1]
-        open_at[g].pop()
-        count[g] -= 1
+        b = open_at[int(widest[-1])][-1]
+        take(b)
         moves = []
         for i in inside[b]:
-            size = int(lengths[i])
-            fits = np.flatnonzero(count[size:]) + size
-            if not len(fits):
+            to = choose(int(lengths[i]), owners[i])
+            if to is None:
                 break
-            h = int(fits[0])
-            to = open_at[h].pop()
-            count[h] -= 1
+            take(to)
             moves.append((i, to))
-            gap[to] -= size
-            if gap[to] > 0:
-                open_at[gap[to]].append(to)
-                count[gap[to]] += 1
+            gap[to] -= int(lengths[i])
+            has[to].add(owners[i])
+            show(to)
         if len(moves) < len(inside[b]):
             break  # this shard's result stays as it was before this attempt
         for i, to in moves:
@@ -215,23 +258,28 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return sequence, offset
 
 
-def pack_pieces(pieces: DataFrame, shards: int, capacity: int = LENGTH) -> DataFrame:
-    """Adds sequence_id and offset to pieces, packing each of `shards` hashed shards by itself."""
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
-    names = [f.name for f in pieces.schema]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+def pack_pieces(pieces: DataFrame, capacity: int = LENGTH) -> DataFrame:
+    """sequence_id and offset instead of `shard`, of pieces of which each shard (0 ..) is packed by itself."""
+    names = [f.name for f in pieces.schema if f.name != "shard"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "shard") + ", sequence_id long, offset long"
 
-    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        sequence, offset = place(part["length"].to_numpy(np.int64), capacity)
-        return part[names].assign(sequence_id=sequence + (int(key[0]) << 32), offset=offset)
+    def pack(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.select(names).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        ids = part.column("doc_id").to_pylist()
+        seen = Counter(i for i in ids if i is not None)
+        owners = [i if seen[i] > 1 else None for i in ids] if len(seen) < len(ids) else None
+        sequence, offset = place(part.column("length").to_numpy().astype(np.int64), capacity, owners)
+        return part.append_column("sequence_id", pa.array(sequence + (key[0].as_py() << 32))).append_column("offset", pa.array(offset))
 
-    return dealt.groupBy("_shard").applyInPandas(pack, schema)
+    return pieces.groupBy("shard").applyInArrow(pack, schema)
 
 
-def pack(docs: DataFrame, vocabulary: str, *, length: int = LENGTH, shard_pieces: int = SHARD_PIECES, end_id: int = 0, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, *, length: int = LENGTH, shard_pieces: int = SHARD_PIECES, end_id: int = 0, with_ids: bool = False, cache: int = CACHE, by_place: bool = False) -> DataFrame:
     """Pieces of all documents with their sequence and offset; ids come along if asked for."""
-    rough = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("chars")).head()
-    # Only the number of shards depends on this estimate: a piece for each document, and one more for each sequence of text.
-    shards = max(1, round((rough["rows"] + (rough["chars"] or 0) / (3 * length)) / shard_pieces))
-    return pack_pieces(cut(docs, vocabulary, length=length, end_id=end_id, with_ids=with_ids, cache=cache), shards, length)
+    pieces = stored(cut(docs, vocabulary, length=length, end_id=end_id, with_ids=with_ids, cache=cache, run=shard_pieces if by_place else None), "pieces", lasting=True)
+    if by_place:
+        # One row for thousands of documents; numbered in one task.
+        runs = stored(pieces.select("deal").distinct().coalesce(1).select("deal", F.monotonically_increasing_id().alias("shard")), "runs", lasting=True)
+        return pack_pieces(pieces.join(runs, "deal").drop("deal"), length)
+    shards = max(1, round(pieces.count() / shard_pieces))
+    return pack_pieces(pieces.withColumn("shard", F.pmod("deal", F.lit(shards)).cast("long")).drop("deal"), length)

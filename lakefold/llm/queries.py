@@ -48,7 +48,7 @@ def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_icws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_icws.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+    return minhash_icws.near_classes(table(spark, sf_dir, "documents"))
 
 
 def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,9 @@ def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_counts(table(spark, sf_dir, "documents"))
+    found = mixing.mix_counts(table(spark, sf_dir, "documents"))
+    draws = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["epoch"], d["shard"])), ",")
+    return found.withColumn("draws", draws)  # epoch:shard of each
 
 
 def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

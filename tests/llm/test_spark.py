@@ -69,11 +69,30 @@ def test_exact_dedup(docs, digest):
 def test_exact_dedup_keeps_rows(docs, empty):
     kept = exact_dedup.keep_first(docs)
     assert kept.columns == docs.columns and kept.count() == len({normal(r[1]) for r in rows()})
-    memory = docs.sparkSession.createDataFrame(rows(), SCHEMA)  # no files, so rows have no place of their own
-    assert exact_dedup.keep_first(memory).count() == kept.count()
+    memory = docs.sparkSession.createDataFrame(rows(), SCHEMA).withColumns({"locator": F.lit(1), "row": F.lit(2), "likely": F.lit(3), "slot": F.lit(4)})
+    again = exact_dedup.keep_first(memory)  # no files, so rows have no place of their own
+    assert again.columns == memory.columns and again.count() == kept.count() and again.where("locator = 1 and likely = 3").count() == kept.count()
     assert exact_dedup.find_copies(empty).count() == 0
 
 
+def test_exact_dedup_lasting_state(spark, tmp_path):
+    """A second delivery meets the state of the first, a repeated one changes nothing, and colliding digests are told apart."""
+    folder, data = str(tmp_path / "state"), {"one": [(5, "a  b"), (6, "c"), (7, "x")], "two": [(3, "a b"), (8, "c"), (9, "new"), (10, "new")], "three": [(11, "c"), (12, "y")]}
+    for digest in (exact_dedup.sha256, lambda c: F.crc32(c.cast("binary")).cast("string").substr(1, 1)):
+        folder += "x"
+        before = []
+        for name, part in data.items():
+            path = str(tmp_path / f"{name}-{len(folder)}")
+            spark.createDataFrame(part, "doc_id long, text string").write.parquet(path)
+            before += part
+            groups = defaultdict(list)
+            for i, t in before:
+                groups[normal(t)].append(i)
+            for _ in range(2):  # the second time as after a restart
+                found = exact_dedup.find_copies(spark.read.parquet(path), digest, folder=folder, delivery=name).collect()
+                assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in found} == {(i, min(g := groups[normal(t)]), len(g), i == min(g)) for i, t in part}
+
+
 def test_hilbert(docs, empty):
     found = hilbert.shard_documents(docs).collect()
     slots = defaultdict(list)
@@ -204,45 +223,93 @@ def test_backoff_whole(docs, empty, order):
     assert backoff_lm.score(empty, order=order).count() == 0
 
 
-def test_mixing(docs, empty):
+def test_mixing(docs, empty, tmp_path):
     found = mixing.mix_counts(docs).collect()
     assert len(found) == len(rows()) and {(r.doc_id, r.taken) for r in found} == {(r.doc_id, r.taken) for r in mixing.mix_counts(docs).collect()}
     words, source = {r[0]: len((r[1] or "").split()) for r in rows()}, {r[0]: r[3] for r in rows()}
     taken, target, largest = Counter(), {}, Counter()
     for r in found:
-        assert r.size == words[r.doc_id] and r.taken in (0, r.size, 2 * r.size)
+        assert r.size == words[r.doc_id] and r.taken == r.size * len(r.draws) and len(r.draws) <= 2
         taken[source[r.doc_id]] += r.taken
         target[source[r.doc_id]] = r.target
         largest[source[r.doc_id]] = max(largest[source[r.doc_id]], r.size)
     assert abs(sum(target.values()) - 1.5 * sum(r.size for r in found)) < 1e-3
     assert all(abs(taken[s] - target[s]) <= largest[s] for s in target)
-    mix = mixing.mixed(docs)
-    assert Counter(r.doc_id for r in mix.collect())[10] == next(r.n_draws for r in found if r.doc_id == 10)
-    assert mix.columns == [*docs.columns, "mix_epoch", "mix_shard", "mix_order"]
+    clashing = docs.withColumns({"mix_shard": F.lit(1), "__key": F.lit(2), "block": F.lit(3), "row": F.lit(4), "draws": F.lit(5)})
+    mix = mixing.mixed(clashing)
+    assert mix.columns == [*clashing.columns, "mix_epoch", "mix_shard_", "mix_order"]
+    drawn = Counter((r.doc_id, r.mix_epoch, r.mix_shard_) for r in mix.collect())
+    assert drawn == Counter((r.doc_id, d.epoch, d.shard) for r in found for d in r.draws)
+    mixing.write_mix(mix, str(tmp_path / "mix"))
+    back = docs.sparkSession.read.parquet(str(tmp_path / "mix"))
+    assert Counter((r.doc_id, r.mix_epoch, r.mix_shard_) for r in back.collect()) == drawn
+    for folder in (tmp_path / "mix").glob("mix_shard_=*"):
+        orders = [r.mix_order for f in sorted(folder.glob("*.parquet")) for r in docs.sparkSession.read.parquet(str(f)).collect()]
+        assert orders == sorted(orders)
     assert mixing.mix_counts(empty).count() == 0
 
 
+def test_mixing_goes_through_the_tree(docs, monkeypatch):
+    """Blocks of each source in each shard are those of the tree, every place is drawn once, and another tree gives other shards."""
+    sized = mixing.sized_rows(docs, 64, 11)
+    seen = []
+    tree = mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda q, s, seed: seen.append(tree(q, s, seed)) or seen[-1])
+    table, sources, _, _ = mixing.plan_mix(sized, shards=5, blocks=64, seed=11, weights=(5, 2, 1))
+    keys = [r.source_key for r in sources.collect()]
+    blocks = [(r.source_key, r.block, d.epoch, d.shard) for r in table.collect() for d in r.draws]
+    assert len({x[:3] for x in blocks}) == len(blocks)
+    counts = Counter((x[0], x[3]) for x in blocks)
+    assert [[counts[k, s] for s in range(5)] for k in keys] == seen[0]
+    monkeypatch.setattr(mixing, "split_tree", lambda q, s, seed: [[0] * (s - 1) + [n] for n in q])
+    assert {d.shard for r in mixing.mix_counts(docs).collect() for d in r.draws} == {15}
+
+
+def test_mixing_without_ids(spark):
+    """Null doc_ids are spread over blocks by their texts, so targets are met."""
+    frame = spark.createDataFrame([(None, "w " * (i % 9 + 1) + str(i), f"s{i % 2}") for i in range(300)], "doc_id long, text string, source string")
+    found = mixing.mix_counts(frame.coalesce(1)).collect()
+    for target in {r.target for r in found}:
+        assert abs(sum(r.taken for r in found if r.target == target) - target) <= 30
+
+
+def packed_well(found, texts, plain):
+    """All pieces of all texts are there, and sequences have no gap and no more than 2048 ids; the sequences."""
+    want = Counter()
+    for doc_id, text in texts:
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            part = b"".join(i.to_bytes(4, "little") for i in ids[k : k + 2048])
+            want[doc_id, k // 2048, k, len(part) // 4, zlib.crc32(part)] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == want
+    places = defaultdict(list)
+    for r in found:
+        places[r.sequence_id].append((r.offset, r.length, r.doc_id))
+    for p in places.values():
+        p.sort(key=lambda x: x[0])
+        assert all(a + n == b for (a, n, _), (b, _, _) in zip(p, p[1:])) and p[0][0] == 0 and sum(n for _, n, _ in p) <= 2048
+    return places
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
+    data = [(r[0], r[1]) for r in rows()]
     found = packing.pack(docs, path, shard_pieces=40, with_ids=True).collect()
-    want = Counter()
-    for r in rows():
-        ids = [*plain.encode(r[1] or "", add_special_tokens=False).ids, 0]
-        for k in range(0, len(ids), 2048):
-            part = b"".join(i.to_bytes(4, "little") for i in ids[k : k + 2048])
-            want[r[0], k // 2048, k, len(part) // 4, zlib.crc32(part), part] += 1
-    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32, bytes(r.ids)) for r in found) == want
-    places = defaultdict(list)
-    for r in found:
-        places[r.sequence_id].append((r.offset, r.length))
-    for p in places.values():
-        p.sort()
-        assert all(a + n == b for (a, n), (b, _) in zip(p, p[1:])) and p[0][0] == 0 and sum(n for _, n in p) <= 2048
-    assert packing.pack(empty, path).count() == 0
+    packed_well(found, data, plain)
+    assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in found)
+    twice = docs.withColumn("deal", F.lit(0)).union(docs.withColumn("deal", F.lit(1))).coalesce(2)  # each document two times
+    places = packed_well(packing.pack(twice, path).collect(), data * 2, plain)
+    ids = [[d for _, _, d in p if d is not None] for p in places.values()]
+    assert all(Counter(i)[d] <= (2 if d == 86 else 1) for i in ids for d in i)  # 86 is there four times
+    packed_well(packing.pack(docs, path, shard_pieces=16, by_place=True).collect(), data, plain)
+    nameless = docs.sparkSession.createDataFrame([(None, f"text {i}") for i in range(400)], "doc_id long, text string")
+    cut = packing.cut(nameless.repartition(4), path)
+    assert cut.select((F.col("deal") % 10).alias("d")).distinct().count() == 10
+    assert packing.pack(empty, path).count() == 0 and packing.pack(empty, path, by_place=True).count() == 0
 
 
 def test_ogg(docs, empty):
