@@ -25,6 +25,8 @@ Repeated rows add to the counts. An empty table gives an empty result. Other col
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,34 +48,72 @@ _PLACE = np.random.default_rng(31).integers(1, 1 << 63, 3, dtype=np.uint64) | np
 END, ALONE, FIXED, WORDS = -1, -2, -3, -4
 
 
-def hashed_words(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    return word_hashes(" ".join(text.split())) if text else np.zeros(0, np.uint64)
-
-
-def hashed_grams(words: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
-    """Names of the n-grams of one length that end at each word; one start sign stands before the first word, so n-grams
-    of three begin with the second word. Another salt gives other names."""
-    ids = np.concatenate([_START, words]) if length > 1 else words
-    n = max(0, len(ids) - length + 1)
-    out = np.full(n, length + salt, np.uint64)
-    for k in range(length):
-        out += ids[k : k + n] * _PLACE[k]
+def names(parts: list[np.ndarray], salt: int) -> np.ndarray:
+    """A 64-bit name of each tuple of word hashes; tuples of another length, or with another salt, have other names."""
+    out = np.full(len(parts[0]), salt * 8 + len(parts), np.uint64)
+    for k, part in enumerate(parts):
+        out += part * _PLACE[k]
     return mixed(out).view(np.int64)
 
 
-def named(words: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The histories of a text's words, with one more at its end, and the n-grams that the words make of them, which have
-    names of their own.
-
-    A first word has the start sign as its history, whatever the order."""
-    start = mixed(_START).view(np.int64)
-    if not len(words):
-        return start, np.zeros(0, np.int64)
-    grams = hashed_grams(words, order, 8)
-    if order == 2:
-        return np.concatenate([start, hashed_grams(words, 1)]), grams
-    return np.concatenate([start, hashed_grams(words, 2)]), np.concatenate([hashed_grams(words[:1], 2, 8), grams])
+#: The history of a first word.
+_FIRST = mixed(_START).view(np.int64)[0]
+
+
+@dataclass
+class Grams:
+    """Texts one after the other, each as its start sign and its words.
+
+    history[i] ends with place i and is the history of the next word; gram[i] is the n-gram that word i makes of its own, and
+    means nothing at a start. A first word has the start sign as its history, whatever the order."""
+
+    document: np.ndarray
+    word: np.ndarray
+    history: np.ndarray
+    gram: np.ndarray
+    starts: np.ndarray
+
+    @property
+    def ends(self) -> np.ndarray:
+        return np.append(self.starts[1:], len(self.word)) - 1
+
+    @property
+    def words(self) -> np.ndarray:
+        """Places of words."""
+        out = np.ones(len(self.word), bool)
+        out[self.starts] = False
+        return np.flatnonzero(out)
+
+
+def grams_of(texts: list[str | None], order: int) -> Grams:
+    lines = [" ".join(t.split()) if t else "" for t in texts]
+    # A space and a sign of its own before each text: the sign is a word, whose hash is replaced by that of the start.
+    hashes = word_hashes(" ".join(f"\x02 {line}" for line in lines))
+    lengths = np.array([line.count(" ") + 2 if line else 1 for line in lines])
+    starts = np.cumsum(lengths) - lengths
+    hashes[starts] = _START[0]
+    back = np.roll(hashes, 1)
+    history = names([hashes], 0) if order == 2 else names([back, hashes], 0)
+    history[starts] = _FIRST
+    gram = names([back, hashes], 1)
+    if order == 3:
+        firsts = np.minimum(starts + 1, len(hashes) - 1)
+        short = gram[firsts]
+        gram = names([np.roll(hashes, 2), back, hashes], 1)
+        gram[firsts] = short
+    return Grams(np.repeat(np.arange(len(texts)), lengths), hashes, history, gram, starts)
+
+
+def batches_of(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of texts of about `most` characters, with the number of the first."""
+    first, size = 0, 0
+    for k, text in enumerate(texts):
+        size += len(text or "")
+        if size > most or k - first >= 128:
+            yield first, texts[first : k + 1]
+            first, size = k + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
 
 
 class Heavy:
@@ -92,10 +132,6 @@ class Heavy:
         return hit, np.where(hit, self.log_n[at], 0.0)
 
 
-def summed(names: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(names), return_counts=True)
-
-
 def heavy_names(texts: DataFrame, order: int, share: float) -> Heavy:
     """The histories and n-grams with more than about 1.5 times `share` of all words, with their exact counts.
 
@@ -108,16 +144,17 @@ def heavy_names(texts: DataFrame, order: int, share: float) -> Heavy:
 
         def out():
             least = max(2, math.ceil(share * size))
-            for kind in (0, 1):
-                name, n = summed([pair[kind] for pair in held])
+            for kind in zip(*held):
+                name, n = np.unique(np.concatenate(kind), return_counts=True)
                 often = n >= least
                 yield pa.RecordBatch.from_pydict({"name": pa.array(name[often]), "n": pa.array(n[often], pa.int64()), "words": pa.array([0] * int(often.sum()), pa.int64())})
             yield pa.RecordBatch.from_pydict({"name": pa.array([None], pa.int64()), "n": pa.array([0], pa.int64()), "words": pa.array([size], pa.int64())})
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.append(named(hashed_words(text), order))
-                size += len(held[-1][1])
+            for _, part in batches_of(batch.column("text").to_pylist()):
+                g = grams_of(part, order)
+                held.append((g.history, g.gram[at := g.words]))
+                size += len(at)
                 if size > _FLUSH:
                     yield from out()
                     held, size = [], 0
@@ -127,16 +164,15 @@ def heavy_names(texts: DataFrame, order: int, share: float) -> Heavy:
     found = stored(texts.mapInArrow(parts, "name long, n long, words long").groupBy("name").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "often")
     words = found.where("name is null").agg(F.sum("words")).head()[0] or 0
     chosen = found.where(F.col("name").isNotNull() & (F.col("n") >= max(2, math.ceil(share * words / 2)))).select("name").toArrow()
-    names = np.sort(chosen.column("name").to_numpy())
-    shared = spark.sparkContext.broadcast(names)
+    shared = spark.sparkContext.broadcast(np.sort(chosen.column("name").to_numpy()))
 
     def exact(batches):
         known = shared.value
         total = np.zeros(len(known), np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if len(known):
-                    every = np.concatenate(named(hashed_words(text), order))
+            for _, part in batches_of(batch.column("text").to_pylist()) if len(known) else ():
+                g = grams_of(part, order)
+                for every in (g.history, g.gram[g.words]):
                     at = np.minimum(np.searchsorted(known, every), len(known) - 1)
                     total += np.bincount(at[known[at] == every], minlength=len(known))
         seen = np.flatnonzero(total)
@@ -155,31 +191,31 @@ def exploded(docs: DataFrame, shared, order: int, alpha: float, part: int, round
     def explode(batches):
         heavy = shared.value
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for first in range(0, len(texts), 64):
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                doc = []
-                for k, (doc_id, text) in enumerate(zip(ids[first : first + 64], texts[first : first + 64])):
-                    words = hashed_words(text)
-                    history, gram = named(words, order)
-                    deep, log_history = heavy.find(history)
-                    known, log_gram = heavy.find(gram)
-                    alone = deep[: len(gram)] & ~known
-                    key = np.concatenate([np.where(alone, gram, history[: len(gram)]), history[-1:]])
-                    word = np.concatenate([np.where(alone, ALONE, (words >> np.uint64(33)).astype(np.int64)), np.full(len(history[-1:]), END)])
-                    sent = np.concatenate([~known, ~deep[-1:]]) & ((key.view(np.uint64) >> np.uint64(40)) % np.uint64(rounds) == np.uint64(part))
-                    key, word = key[sent], word[sent]
-                    _, at, times = np.unique(mixed(key.view(np.uint64) + word.astype(np.uint64)), return_index=True, return_counts=True)
-                    out.append((key[at], word[at], times))
-                    size = len(times)
-                    if part == 0:
-                        fixed = log_gram.sum() - log_history[: len(gram)].sum() + ((order - 2) * math.log(alpha) if len(words) else 0.0)
-                        own = mixed(np.array([k if doc_id is None else doc_id], np.int64).view(np.uint64)).view(np.int64)
-                        out.append((np.repeat(own, 2), np.array([FIXED, WORDS]), np.array([fixed, len(words)])))
-                        size += 2
-                    doc += [doc_id] * size
-                keys, words_, x = (np.concatenate(c) for c in zip(*out))
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.astype(np.int64)), "word": pa.array(words_.astype(np.int32)), "doc_id": pa.array(doc, pa.int64()), "x": pa.array(x.astype(np.float64))})
+            ids = batch.column("doc_id")
+            null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+            for first, texts in batches_of(batch.column("text").to_pylist()):
+                g = grams_of(texts, order)
+                deep, log_history = heavy.find(g.history)
+                at = g.words
+                known, log_gram = heavy.find(g.gram[at])
+                alone = deep[at - 1] & ~known
+                ends = g.ends
+                key = np.concatenate([np.where(alone, g.gram[at], g.history[at - 1]), g.history[ends]])
+                word = np.concatenate([np.where(alone, ALONE, (g.word[at] >> np.uint64(33)).astype(np.int64)), np.full(len(ends), END)])
+                of = np.concatenate([g.document[at], np.arange(len(ends))])
+                sent = np.concatenate([~known, ~deep[ends]]) & ((key.view(np.uint64) >> np.uint64(40)) % np.uint64(rounds) == np.uint64(part))
+                key, word, of = key[sent], word[sent], of[sent]
+                same = mixed(key.view(np.uint64) + word.astype(np.uint64)) + of.astype(np.uint64) * _PLACE[0]
+                _, one, x = np.unique(same, return_index=True, return_counts=True)
+                columns = [(key[one], word[one], of[one], x)]
+                if part == 0:
+                    fixed = np.bincount(g.document[at], log_gram - log_history[at - 1], len(ends))
+                    n = np.bincount(g.document[at], minlength=len(ends))
+                    fixed += (order - 2) * math.log(alpha) * (n > 0)
+                    own, every = mixed((ids[first : first + len(ends)] + np.arange(first, first + len(ends)) * null[first : first + len(ends)]).astype(np.int64).view(np.uint64)).view(np.int64), np.arange(len(ends))
+                    columns += [(own, np.full(len(ends), FIXED), every, fixed), (own, np.full(len(ends), WORDS), every, n)]
+                key, word, of, x = (np.concatenate(c) for c in zip(*columns))
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key), "word": pa.array(word.astype(np.int32)), "doc_id": pa.array(ids[first + of], mask=null[first + of]), "x": pa.array(x.astype(np.float64))})
 
     return docs.mapInArrow(explode, "key long, word int, doc_id long, x double")
 
@@ -187,8 +223,9 @@ def exploded(docs: DataFrame, shared, order: int, alpha: float, part: int, round
 def scored(rows: DataFrame) -> DataFrame:
     """doc_id, n_words, log_score: the share of each document in one part of the keys."""
     counted = F.when(F.col("word") >= ALONE, F.col("x"))
-    of_key, of_gram = Window.partitionBy("key"), Window.partitionBy("key", "word")
-    rows = rows.repartition("key").withColumns({"m": F.sum(counted).over(of_key), "n": F.sum(counted).over(of_gram)})
+    by_word = Window.partitionBy("key").orderBy("word")  # one sorted pass for both counts
+    every, same = (Window.unboundedPreceding, Window.unboundedFollowing), (Window.currentRow, Window.currentRow)
+    rows = rows.repartition("key").withColumns({"m": F.sum(counted).over(by_word.rangeBetween(*every)), "n": F.sum(counted).over(by_word.rangeBetween(*same))})
     value = F.when(F.col("word") >= 0, F.col("x") * (F.log("n") - F.log("m"))).when(F.col("word") == ALONE, F.col("x") * F.log("n")).when(F.col("word") == FIXED, F.col("x"))
     words = F.when(F.col("word") == WORDS, F.col("x").cast("long"))
     return rows.where(F.col("word") != END).groupBy("doc_id").agg(F.sum(words).alias("n_words"), F.sum(value).alias("log_score"))
