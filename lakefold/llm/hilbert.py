@@ -1,7 +1,8 @@
 """Sharding along a Hilbert curve: quantise metadata dimensions, sort by curve index, cut runs.
 
-Each dimension is quantised into 2**bits cells of about equal row counts, with cell borders from one pass of mergeable
-quantile summaries over all rows. Cells are turned into the index on the Hilbert curve by a finite-state machine whose
+Each dimension is quantised into 2**bits cells of about equal row counts. Borders of numbers and times come from one pass of
+mergeable quantile summaries over all rows, those of texts from the counts of their sorted distinct values, which are
+compared whole. Cells are turned into the index on the Hilbert curve by a finite-state machine whose
 tables come from the Gray code, evaluated inside the plan. Rows are range-partitioned and sorted by (index, tie-breaks);
 their exact global positions, from the row counts of the sorted partitions, are cut into runs. Rows near on the curve
 share a shard, so each shard covers small ranges of every dimension at once and readers can skip it by min and max.
@@ -12,11 +13,11 @@ ignored. Fewer rows than shards leave the last shards empty."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import row_of, stored
 
 
 def gray(i: int) -> int:
@@ -62,13 +63,33 @@ def curve_index(cells: list[Column], bits: int) -> Column:
 
 
 def number_of(column: Column, kind: T.DataType) -> Column:
-    """An order-keeping number of a value: its own, or for text that of its first 7 bytes."""
+    """An order-keeping number of a number or time; for anything else its text."""
     if isinstance(kind, T.NumericType):
         return column.cast("double")
     if isinstance(kind, (T.TimestampType, T.DateType)):
         return column.cast("timestamp").cast("double")
-    head = F.rpad(F.hex(F.substring(column.cast("string").cast("binary"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("double")
+    return column.cast("string")
+
+
+def text_borders(values: DataFrame, cells: int) -> list[str]:
+    """Values of the one column of a frame at its i / cells quantiles, i in 1 .. cells - 1; nulls don't count.
+
+    Distinct values are counted, sorted over all partitions and summed up in each; the driver sees one count a partition."""
+    (name,) = values.columns
+    counts = values.where(F.col(f"`{name}`").isNotNull()).groupBy(F.col(f"`{name}`").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    ranged = stored(counts.repartitionByRange("value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id()), "values")
+    sums = sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    total, before = 0, []
+    for part, n in sums:
+        before.append((part, total))
+        total += n
+    if not total:
+        return []
+    starts = values.sparkSession.createDataFrame(before, "part int, start long")  # one row a partition
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("upto", upto).join(F.broadcast(starts), "part").withColumn("upto", F.col("upto") + F.col("start"))
+    row = placed.agg(*[F.min(F.when(F.col("upto") * cells >= F.lit(total) * i, F.col("value"))).alias(f"b{i}") for i in range(1, cells)]).head()
+    return list(row)
 
 
 def with_cells(df: DataFrame, dims: dict[str, Column], bits: int) -> DataFrame:
@@ -76,15 +97,19 @@ def with_cells(df: DataFrame, dims: dict[str, Column], bits: int) -> DataFrame:
     names = list(dims)
     kinds = {f.name: f.dataType for f in df.select(*[c.alias(n) for n, c in dims.items()]).schema}
     numbers = {n: number_of(c, kinds[n]) for n, c in dims.items()}
+    keyed = df.select(*[c.alias(n) for n, c in numbers.items()])
+    texts = [f.name for f in keyed.schema if isinstance(f.dataType, T.StringType)]
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    row = df.agg(*[F.percentile_approx(numbers[n], shares, 4096).alias(n) for n in names]).head()
+    counted = [n for n in names if n not in texts]
+    row = keyed.agg(*[F.percentile_approx(n, shares, 4096).alias(n) for n in counted]).head() if counted else {}
+    borders = {n: sorted({float(b) for b in row[n] or []}) for n in counted}
+    borders |= {n: sorted(set(text_borders(keyed.select(n), 1 << bits)), key=lambda t: t.encode("utf-8", "surrogatepass")) for n in texts}
 
     def cell(n: str) -> Column:
-        borders = [float(b) for b in sorted(set(row[n] or []))]
-        if not borders:
+        if not borders[n]:
             return F.lit(0)
         value = F.col(f"_number_{n}")
-        below = F.size(F.filter(F.array(*map(F.lit, borders)), lambda border: border < value))
+        below = F.size(F.filter(F.array(*map(F.lit, borders[n])), lambda border: border < value))
         return F.when(value.isNull(), 0).otherwise(below).cast("int")
 
     numbered = df.withColumns({f"_number_{n}": numbers[n] for n in names})
@@ -125,12 +150,15 @@ def cut_rows(position: Column, total: int, shards: int) -> tuple[Column, Column]
 def shard(df: DataFrame, dims: dict[str, Column], ties: list[Column], shards: int, *, bits: int = 5) -> DataFrame:
     """df with `curve`, `shard` and `slot` (gapless from 0 in each shard) under the law `rows`.
 
-    dims: names of cell columns and what they quantise. ties: columns that order rows of one cell."""
-    celled = with_cells(df, dims, bits)
-    indexed = celled.withColumn("curve", curve_index([F.col(n) for n in dims], bits)).drop(*dims)
-    placed, total = positions(indexed, [F.col("curve"), *ties])
+    dims: names of dimensions and what they quantise. ties: columns that order rows of one cell. Columns of df with the name
+    of one that is added are replaced; all others may have any name."""
+    narrow = df.select(row_of(df.columns), *[c.alias(f"dim{i}") for i, c in enumerate(dims.values())], *[c.alias(f"tie{i}") for i, c in enumerate(ties)])
+    cells = {f"cell{i}": F.col(f"dim{i}") for i in range(len(dims))}
+    indexed = with_cells(narrow, cells, bits).select("row", curve_index([F.col(c) for c in cells], bits).alias("curve"), *[f"tie{i}" for i in range(len(ties))])
+    placed, total = positions(indexed, [F.col("curve"), *[F.col(f"tie{i}") for i in range(len(ties))]])
     number, slot = cut_rows(F.col("position"), total, shards)
-    return placed.withColumns({"shard": number, "slot": slot}).drop("position")
+    names = [c for c in df.columns if c not in ("curve", "shard", "slot")]
+    return placed.select(*[F.col(f"row.`{c}`") for c in names], "curve", number.alias("shard"), slot.alias("slot"))
 
 
 def shard_ranges(df: DataFrame, *columns: str) -> DataFrame:

@@ -2,18 +2,21 @@
 
 `mux` writes two logical streams into one physical stream: the samples, and a log with one entry a packet of samples.
 `demux` reads any physical stream of such pages: it verifies each page's checksum, puts packets together from the lacing
-values over page ends, separates logical streams by serial number, checks page order, and derives times from granule
-positions. Both work on bytes, and `store` and `features` apply them to a column.
+values over page ends, separates logical streams by serial number and checks page order. `packet_times` derives the start
+and end of every packet from the granule positions of pages: the last packet that ends on a page ends at its granule, and
+those before it by their lengths backwards. Both work on bytes, and `store` and `features` apply them to a column.
 
 Defined results: a null text is empty; an empty text is stored as one unit of padding. Equal texts give equal bytes, as
-serial numbers come from the payload alone. A damaged, reordered or cut stream raises OggError in `demux`. Texts of any
-length are stored whole, in as many pages as they need; other columns are ignored."""
+serial numbers come from the payload alone. A damaged, reordered or cut stream raises OggError in `demux`; in `features` its
+row, like that of null media, has nulls and the reason in `error`, which is null otherwise. Texts of any length are stored
+whole, in as many pages as they need. An empty table gives an empty result; other columns are ignored."""
 
 from __future__ import annotations
 
 import hashlib
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -149,22 +152,49 @@ def demux(data: bytes) -> dict[int, Stream]:
     return streams
 
 
+def packet_times(s: Stream, samples: Callable[[bytes], int]) -> list[tuple[int, int]]:
+    """Start and end of each packet in samples; the head packet takes no time. `samples` gives a packet's length.
+
+    Pages must not overlap: a page's first packet starts no earlier than the last packet before it ends."""
+    out, end = [(0, 0)], None
+    held: list[int] = []
+    for packet, granule in zip(s.packets[1:], s.granules[1:], strict=True):
+        held.append(samples(packet))
+        if granule < 0:
+            continue
+        begin = granule - sum(held)
+        if begin < (end if end is not None else 0):
+            raise OggError("granule positions go back")
+        for n in held:
+            out.append((begin, begin + n))
+            begin += n
+        held, end = [], granule
+    if held:
+        raise OggError("a packet has no granule position")
+    return out
+
+
 def read_samples(data: bytes) -> tuple[bytes, dict]:
     """The payload that mux stored and what the container says of it."""
     streams = demux(data)
-    by_kind = {s.packets[0][:8]: s for s in streams.values()}
-    if set(by_kind) != {b"SAMPLES8", b"SAMPLELG"}:
+    by_kind = {s.packets[0][:8]: s for s in streams.values() if s.packets}
+    if set(by_kind) != {b"SAMPLES8", b"SAMPLELG"} or len(streams) != 2:
         raise OggError("not a sample stream and its log")
     samples, log = by_kind[b"SAMPLES8"], by_kind[b"SAMPLELG"]
     rate, channels, total = struct.unpack_from("<IBQ", samples.packets[0], 8)
     payload = b"".join(samples.packets[1:])
-    for packet, entry in zip(samples.packets[1:], log.packets[1:], strict=True):
-        _, length, crc = struct.unpack("<QII", entry)
-        if (len(packet), zlib.crc32(packet)) != (length, crc):
+    times = packet_times(samples, lambda p: len(p) // channels)
+    logged = packet_times(log, lambda p: struct.unpack("<QII", p)[1])
+    if len(samples.packets) != len(log.packets):
+        raise OggError("the log doesn't match the samples")
+    for packet, entry, time, beside in zip(samples.packets[1:], log.packets[1:], times[1:], logged[1:]):
+        first, length, crc = struct.unpack("<QII", entry)
+        if (len(packet), zlib.crc32(packet), time) != (length, crc, beside) or first != time[0]:
             raise OggError("the log doesn't match the samples")
-    if len(payload) != total or samples.granules[-1] != total * channels:
+    if len(payload) != total or times[-1][1] - times[min(1, len(times) - 1)][0] != total // channels:
         raise OggError("granule position and samples differ")
-    return payload, {"streams": len(streams), "pages": sum(s.pages for s in streams.values()), "packets": len(samples.packets), "ms": total * 1000 // rate, "granule": samples.granules[-1]}
+    ms = (times[-1][1] - times[min(1, len(times) - 1)][0]) * 1000 // rate
+    return payload, {"streams": len(streams), "pages": sum(s.pages for s in streams.values()), "packets": len(samples.packets), "ms": ms, "granule": times[-1][1], "last": times[-1][0] * 1000 // rate}
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -177,7 +207,7 @@ def feature_of(payload: bytes, facts: dict) -> str:
     x = np.frombuffer(payload, np.uint8).astype(np.int16) - 128
     energy = int(np.dot(x.astype(np.int64), x)) // len(x)
     crossings = int(np.count_nonzero((x[1:] >= 0) != (x[:-1] >= 0)))
-    return f"streams={facts['streams']};pages={facts['pages']};packets={facts['packets']};ms={facts['ms']};granule={facts['granule']};energy={energy};crossings={crossings}"
+    return f"streams={facts['streams']};pages={facts['pages']};packets={facts['packets']};ms={facts['ms']};last={facts['last']};granule={facts['granule']};energy={energy};crossings={crossings}"
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -193,14 +223,22 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Read the stored bytes back: payload and digests of payload and container, with a feature string."""
+    """Read the stored bytes back: payload and digests of payload and container, a feature string, and what was wrong."""
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
+
+    def row(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * 6 + ("no media",)
+        size, digest = len(data), hashlib.sha256(data).hexdigest()
+        try:
+            payload, facts = read_samples(data)
+        except (OggError, struct.error) as e:
+            return (None, None, None, size, digest, None, str(e))
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), size, digest, feature_of(payload, facts), None
 
     def over(batch):
-        rows = []
-        for data in batch.column("media").to_pylist():
-            payload, facts = read_samples(data)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(payload, facts)))
-        a, b, c, d, e, f = map(list, zip(*rows)) if rows else ([],) * 6
-        yield {"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "payload_bytes": pa.array(a, pa.int64()), "payload_sha256": pa.array(b, pa.string()), "tail_crc32": pa.array(c, pa.int64()), "media_bytes": pa.array(d, pa.int64()), "media_sha256": pa.array(e, pa.string()), "feature": pa.array(f, pa.string())}
+        columns = list(zip(*map(row, batch.column("media").to_pylist()))) or [()] * len(names)
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        yield {"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes")} | {n: pa.array(c, k) for n, c, k in zip(names, columns, kinds)}
 
-    return arrow_map(media.select("doc_id", "n_bytes", "media"), over, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return arrow_map(media.select("doc_id", "n_bytes", "media"), over, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")

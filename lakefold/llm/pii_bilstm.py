@@ -2,20 +2,24 @@
 
 Base spans come from exact patterns, matched in linear time. The network is trained in numpy from labelled spans: the
 base spans of a bounded sample of documents, and generated spans in further spellings put into their texts. It reads
-overlapping windows; emissions of a character from several windows are averaged with weights that fall towards a
-window's ends, and one Viterbi pass over each covered stretch decides globally, so no span is cut by a window.
+overlapping windows; emissions of a character from two windows are averaged with weights that fall towards a window's
+ends, and one Viterbi pass over each stretch of windows decides globally, so no span is cut by a window.
 
-A span of the network must satisfy the exact check of its kind, which asks for digits, or for '@' or the word "at" in an
-email. Only windows that hold one of these, and those that overlap them, are run; no span without one can pass the check.
-Spans of the network that meet a base span are dropped.
+A span of the network must satisfy the exact check of its kind (`plausible`). It asks for digits, or in an email of at most
+`LONGEST` characters for '@', or for the word "at" before a dot that ends no sentence. Windows that hold one of these, and
+those that overlap them, make the stretches; no span outside of them can pass the check. `everywhere` runs all windows
+instead, which is dearer by far; spans can then differ only by what the network reads beyond a stretch. Spans of the network
+that meet a base span are dropped.
 
-Defined results: a null text is empty and has no span. Texts of any length are read whole, in linear time. Equal texts
-get equal spans. Offsets are code points, ends exclusive. Other columns are ignored."""
+Defined results: a null text is empty and has no span. Texts of any length are read whole, in linear time, with some ten
+bytes of memory a character of the longest stretch. Equal texts get equal spans. Offsets are code points, ends exclusive.
+Repeated rows get equal results; an empty table gives an empty one. Other columns are ignored."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +33,8 @@ KINDS = ("email", "ip", "card", "phone")
 # Outside, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 WINDOW, STRIDE = 96, 48
+#: Characters of an email of the network at most, and windows that are in memory at once.
+LONGEST, HELD = 96, 2048
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -37,8 +43,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9@]")
+# A dot in a host: followed by a letter, between blanks, or the word.
+_DOT = r"(?:\.(?=[A-Za-z])|\s\.\s|\bdot\b)"
+_SPELLED = re.compile(rf"[A-Za-z0-9].*(?:@|\bat\b).*[A-Za-z0-9]\s?{_DOT}\s?[A-Za-z]", re.DOTALL)
 # Every span that `plausible` accepts holds one of these.
-_TRIGGER = re.compile(r"[0-9@]|\bat\b")
+_TRIGGER = re.compile(rf"[0-9@]+|\bat\b(?=.{{0,{LONGEST}}}?{_DOT})", re.DOTALL)
 _DIGITS = re.compile(r"[^0-9]+")
 
 
@@ -90,7 +99,7 @@ def plausible(kind: str, span: str) -> bool:
     if kind == "ip":
         parts = re.findall(r"[0-9]+", span)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and not re.search(r"[A-Za-z]", span)
-    return bool(re.search(r"[A-Za-z0-9].*(@|\bat\b).*[A-Za-z0-9]\s*(\.|\bdot\b)\s*[A-Za-z]", span))
+    return len(span) <= LONGEST and bool(_SPELLED.search(span))
 
 
 # --- the network -------------------------------------------------------------------------------------------------
@@ -204,83 +213,106 @@ class PiiModel:
         """Spans of the network over the whole text."""
         return self.many([text])[0]
 
-    def many(self, texts: list[str], batch: int = 512) -> list[list[tuple[str, int, int]]]:
-        plan = []
-        for number, text in enumerate(texts):
-            last = -1
-            for m in _TRIGGER.finditer(text):
-                # Windows that hold the trigger, and those that overlap them.
-                for k in range(max(last + 1, (m.start() - WINDOW) // STRIDE, 0), min(m.start() // STRIDE + 1, (len(text) - 1) // STRIDE) + 1):
-                    plan.append((number, k))
-                    last = k
+    def many(self, texts: list[str], everywhere: bool = False, batch: int = 512) -> list[list[tuple[str, int, int]]]:
+        """Spans of every text."""
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+        runs = [(number, *run) for number, text in enumerate(texts) for run in ([(0, -(-len(text) // STRIDE))] if everywhere and text else stretches(text))]
+        runs.sort(key=lambda r: r[1] - r[2])  # stretches of about the same length are decided together
+        at = 0
+        while at < len(runs):
+            end = at + 1
+            while end < len(runs) and (end - at) * (runs[at][2] - runs[at][1]) < HELD:
+                end += 1
+            group, at = runs[at:end], end
+            for (number, first, _), tags in zip(group, self.tags(texts, group, batch)):
+                out[number] += found(texts[number], first * STRIDE, tags)
+        return [sorted(spans, key=lambda s: s[1]) for spans in out]
+
+    def tags(self, texts: list[str], group: list[tuple[int, int, int]], batch: int) -> list[np.ndarray]:
+        """The best tags of stretches, longest first, which go on from one part of HELD windows to the next together."""
         fade = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
-        stretch: tuple[int, int] | None = None  # document and first character of the stretch that is open
-        total, weight = np.zeros((0, TAGS), np.float32), np.zeros((0, 1), np.float32)
-        begin = 0
-
-        def close() -> None:
-            if stretch is not None and len(total):
-                out[stretch[0]] += self.decode(texts[stretch[0]], begin, total / weight)
-
-        for at in range(0, len(plan), batch):
-            part = plan[at : at + batch]
-            ids = np.zeros((WINDOW, len(part)), np.int64)
-            for j, (number, k) in enumerate(part):
-                c = classes(texts[number][k * STRIDE : k * STRIDE + WINDOW])
-                ids[: len(c), j] = c
-            emit = self.emissions(ids)
-            for j, (number, k) in enumerate(part):
-                length = min(WINDOW, len(texts[number]) - k * STRIDE)
-                place = k * STRIDE
-                if stretch is None or stretch[0] != number or place > begin + len(total):
-                    close()
-                    stretch, begin = (number, place), place
-                    total, weight = np.zeros((0, TAGS), np.float32), np.zeros((0, 1), np.float32)
-                grow = place + length - (begin + len(total))
-                if grow > 0:
-                    total = np.concatenate([total, np.zeros((grow, TAGS), np.float32)])
-                    weight = np.concatenate([weight, np.zeros((grow, 1), np.float32)])
-                total[place - begin : place - begin + length] += emit[:length, j] * fade[:length]
-                weight[place - begin : place - begin + length] += fade[:length]
-                if len(total) > 64 * WINDOW and self.calm(texts[number], begin, len(total)):
-                    close()
-                    stretch = None
-        close()
-        return out
-
-    @staticmethod
-    def calm(text: str, begin: int, length: int) -> bool:
-        """Whether a long stretch may be decided here: it then goes on with the next window."""
-        return not _TRIGGER.search(text, begin + length - WINDOW, begin + length)
-
-    def decode(self, text: str, begin: int, emit: np.ndarray) -> list[tuple[str, int, int]]:
-        trans = np.where(allowed(), self.weights["trans"], -1e4)
-        score, back = emit[0].copy(), np.zeros(emit.shape, np.int8)
-        score[2::2] = -1e4
-        for t in range(1, len(emit)):
-            step = score[:, None] + trans
-            back[t] = step.argmax(0)
-            score = step[back[t], np.arange(TAGS)] + emit[t]
-        tag = int(score.argmax())
-        path = [tag]
-        for t in range(len(emit) - 1, 0, -1):
-            tag = int(back[t][tag])
-            path.append(tag)
-        path.reverse()
-        out, t = [], 0
-        while t < len(path):
-            if path[t] % 2 == 1:
-                end = t + 1
-                while end < len(path) and path[end] == path[t] + 1:
-                    end += 1
-                kind, span = KINDS[path[t] // 2], text[begin + t : begin + end]
-                if plausible(kind, span):
-                    out.append((kind, begin + t, begin + end))
-                t = end
-            else:
-                t += 1
-        return out
+        ahead, behind = fade[:STRIDE], fade[STRIDE:]
+        sizes = [min(len(texts[n]), last * STRIDE + STRIDE) - first * STRIDE for n, first, last in group]
+        longest = group[0][2] - group[0][1]
+        step = max(1, HELD // len(group))
+        before = np.zeros((len(group), STRIDE, TAGS), np.float32)
+        score, backs = None, []
+        for at in range(0, longest + 1, step):
+            blocks = min(step, longest + 1 - at)  # the last block is the second half of the last window
+            windows = [(g, k) for g, (_, first, last) in enumerate(group) for k in range(at, min(at + blocks, last - first))]
+            emit = np.zeros((len(group), blocks + 1, STRIDE, TAGS), np.float32)
+            weight = np.zeros((len(group), blocks + 1, STRIDE, 1), np.float32)
+            emit[:, 0] += before
+            weight[:, 0] += behind * (at > 0)
+            for begin in range(0, len(windows), batch):
+                part = windows[begin : begin + batch]
+                ids = np.zeros((WINDOW, len(part)), np.int64)
+                for j, (g, k) in enumerate(part):
+                    number, first, _ = group[g]
+                    c = classes(texts[number][(first + k) * STRIDE : (first + k) * STRIDE + WINDOW])
+                    ids[: len(c), j] = c
+                e = self.emissions(ids).transpose(1, 0, 2) * fade
+                g, k = (np.array(x) for x in zip(*part))
+                emit[g, k - at] += e[:, :STRIDE]
+                weight[g, k - at] += ahead
+                emit[g, k - at + 1] += e[:, STRIDE:]
+                weight[g, k - at + 1] += behind
+            before = emit[:, blocks]
+            mean = (emit[:, :blocks] / np.maximum(weight[:, :blocks], 1e-6)).reshape(len(group), blocks * STRIDE, TAGS).transpose(1, 0, 2)
+            back, score = self.forward(mean, [n - at * STRIDE for n in sizes], score)
+            backs.append(back)
+        back = np.concatenate(backs)
+        tag, path = score.argmax(1), np.zeros(back.shape[:2], np.int8)
+        live = np.searchsorted(-np.array(sizes), -np.arange(1, len(back) + 1), side="right")  # stretches that long
+        rows = np.arange(len(group))
+        for t in range(len(back) - 1, -1, -1):
+            n = live[t]
+            path[t, :n] = tag[:n]
+            tag[:n] = back[t, rows[:n], tag[:n]]
+        return [path[:n, g] for g, n in enumerate(sizes)]
+
+    def forward(self, emit: np.ndarray, left: list[int], score: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Back pointers and last scores of (time, stretch, tag); a stretch stops after the characters that it has left."""
+        trans = np.where(allowed(), self.weights["trans"], -1e4).astype(np.float32)
+        back = np.zeros(emit.shape, np.int8)
+        live = np.searchsorted(-np.array(left), -np.arange(1, len(emit) + 1), side="right")
+        start = 0
+        if score is None:
+            score, start = emit[0].copy(), 1
+            score[:, 2::2] = -1e4
+        for t in range(start, len(emit)):
+            n = int(live[t])
+            if not n:
+                break
+            step = score[:n, :, None] + trans
+            score[:n] = step.max(1) + emit[t, :n]
+            back[t, :n] = step.argmax(1)
+        return back, score
+
+
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Runs of windows (first, behind the last) that hold a trigger or overlap one that does."""
+    out: list[list[int]] = []
+    most = (len(text) - 1) // STRIDE + 1
+    for m in _TRIGGER.finditer(text):
+        first, last = max(0, (m.start() - WINDOW) // STRIDE), min(most, (m.end() - 1) // STRIDE + 2)
+        if out and first <= out[-1][1]:
+            out[-1][1] = max(last, out[-1][1])
+        else:
+            out.append([first, last])
+    return [(a, b) for a, b in out]
+
+
+def found(text: str, begin: int, tags: np.ndarray) -> list[tuple[str, int, int]]:
+    """The spans that tags mark, from a character on, and that pass the check of their kind."""
+    out = []
+    inside = np.append((tags > 0) & (tags % 2 == 0), False)
+    for t in np.flatnonzero(tags % 2 == 1).tolist():
+        end = t + 1 + int(inside[t + 1 : t + 1 + 4 * LONGEST].argmin()) if inside[t + 1 : t + 1 + 4 * LONGEST].size else t + 1
+        kind = KINDS[int(tags[t]) // 2]
+        if plausible(kind, text[begin + t : begin + end]):
+            out.append((kind, begin + t, begin + end))
+    return out
 
 
 # --- training ----------------------------------------------------------------------------------------------------
@@ -391,14 +423,16 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])))
 
 
-def find(texts: list[str | None], model: PiiModel) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
+def find(texts: list[str | None], model: PiiModel, everywhere: bool = False) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """Base spans, and all spans, of every whole text."""
     whole = [t or "" for t in texts]
     out = []
-    for text, found in zip(whole, model.many(whole)):
+    for text, spans in zip(whole, model.many(whole, everywhere)):
         base = base_spans(text)
-        added = [s for s in found if not any(s[1] < b[2] and b[1] < s[2] for b in base)] if found else []
-        out.append((base, base + added))
+        by_start = sorted(base, key=lambda s: s[1])
+        starts, ends = [s[1] for s in by_start], np.maximum.accumulate([s[2] for s in by_start] or [0]).tolist()
+        meets = lambda s: (k := bisect_left(starts, s[2])) > 0 and ends[k - 1] > s[1]  # noqa: E731, B023
+        out.append((base, base + [s for s in spans if not meets(s)]))
     return out
 
 

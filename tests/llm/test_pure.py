@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -52,6 +53,10 @@ def test_ogg_round_trip(size):
     data = ogg.mux(payload)
     back, facts = ogg.read_samples(data)
     assert back == payload and facts["streams"] == 2 and facts["granule"] == size
+    s = next(s for s in ogg.demux(data).values() if s.packets[0].startswith(b"SAMPLES8"))
+    spans = ogg.packet_times(s, len)
+    assert spans[0] == (0, 0) and [b - a for a, b in spans[1:]] == [len(p) for p in s.packets[1:]]
+    assert all(x[1] == y[0] for x, y in zip(spans, spans[1:])) and spans[-1][1] == size
     damaged = bytearray(data)
     damaged[len(data) // 2] ^= 1
     with pytest.raises(ogg.OggError):
@@ -66,6 +71,17 @@ def test_ogg_packet_over_pages():
     assert s.packets == [p for p, _ in packets] and s.granules[-1] == 9
 
 
+def test_ogg_times_come_from_granules():
+    packets = [(b"head", 0), (bytes(300), 300), (bytes(70_000), 70_300), (bytes(100), 70_400)]
+    s = ogg.demux(b"".join(ogg.paged(5, packets)))[5]
+    assert ogg.packet_times(s, len) == [(0, 0), (0, 300), (300, 70_300), (70_300, 70_400)]
+    late = [(data, g + 1000 if g else 0) for data, g in packets]  # a stream that starts at 1000
+    assert ogg.packet_times(ogg.demux(b"".join(ogg.paged(5, late)))[5], len)[1:] == [(1000, 1300), (1300, 71_300), (71_300, 71_400)]
+    back = [(b"head", 0), (bytes(70_000), 70_000), (bytes(70_000), 60_000), (bytes(70_000), 200_000)]
+    with pytest.raises(ogg.OggError):
+        ogg.packet_times(ogg.demux(b"".join(ogg.paged(5, back)))[5], len)
+
+
 def brute_spans(text):
     out = []
     for kind, pattern in zip(pii_bilstm.KINDS, [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]):
@@ -139,8 +155,57 @@ def test_network_runs_overlapping_windows():
             seen.append(ids.shape[1])
             return np.zeros((*ids.shape, pii_bilstm.TAGS), np.float32)
 
-    Counting({"trans": np.zeros((pii_bilstm.TAGS,) * 2)}).many(["x" * 480 + "1" + "x" * 480])
+    model = Counting({"trans": np.zeros((pii_bilstm.TAGS,) * 2)})
+    model.many(["x" * 480 + "1" + "x" * 480])
+    assert sum(seen) == 4
+    model.many(["look at the plain words. Then go. " * 50])
     assert sum(seen) == 4
+    model.many(["x" * 480], everywhere=True)
+    assert sum(seen) == 14
+
+
+def slow_tags(model, text, first, last):
+    """Means over all windows of a stretch, and Viterbi by the book."""
+    end = min(len(text), last * 48 + 48)
+    total, weight = np.zeros((end, pii_bilstm.TAGS)), np.zeros((end, 1))
+    for k in range(first, last):
+        ids = np.zeros((96, 1), np.int64)
+        c = pii_bilstm.classes(text[k * 48 : k * 48 + 96])
+        ids[: len(c), 0] = c
+        for i, e in enumerate(model.emissions(ids)[: len(c), 0]):
+            total[k * 48 + i] += min(i + 1, 96 - i) * e
+            weight[k * 48 + i] += min(i + 1, 96 - i)
+    emit = (total / np.maximum(weight, 1e-6))[first * 48 :]
+    trans = np.where(pii_bilstm.allowed(), model.weights["trans"], -1e4)
+    best = [(emit[0][j] if j % 2 or j == 0 else -1e4, [j]) for j in range(pii_bilstm.TAGS)]
+    for e in emit[1:]:
+        best = [max(((s + trans[p[-1], j] + e[j], [*p, j]) for s, p in best), key=lambda x: x[0]) for j in range(pii_bilstm.TAGS)]
+    return max(best, key=lambda x: x[0])[1]
+
+
+def test_viterbi_over_stretches(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = pii_bilstm.train(["then are under with " * 30], batches=2, batch=4)
+    model.weights["trans"] = rng.normal(size=(pii_bilstm.TAGS,) * 2).astype(np.float32)
+    text = lambda n: "".join(rng.choice(list("ab 19.@"), n))
+    texts = [text(n) for n in (1, 30, 48, 49, 96, 97, 300)] + ["z" * 200 + "1" + "z" * 300 + "22" + "z" * 10]
+    for held in (2048, 3):
+        monkeypatch.setattr(pii_bilstm, "HELD", held)
+        for t, number in zip(texts, range(len(texts))):
+            group = sorted(((number, a, b) for a, b in pii_bilstm.stretches(t)), key=lambda r: r[1] - r[2])
+            for (_, a, b), tags in zip(group, model.tags(texts, group, 5) if group else []):
+                assert tags.tolist() == slow_tags(model, t, a, b)
+
+
+def test_long_texts_of_digits_take_linear_time():
+    model = pii_bilstm.train(["then are under with " * 30], batches=2, batch=4)
+    text = "".join(random.Random(1).choice("0123456789 .-") for _ in range(200_000))
+    began = time.time()
+    (base, every), = pii_bilstm.find([text], model)
+    assert time.time() - began < 60
+    assert every[: len(base)] == base
+    (base, _), = pii_bilstm.find([text[:3000]], model)
+    assert base == brute_spans(text[:3000])
 
 
 def test_language_id():

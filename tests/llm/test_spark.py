@@ -105,6 +105,29 @@ def test_hilbert(docs, empty):
     assert hilbert.shard_documents(empty).count() == 0
 
 
+def test_hilbert_index_is_that_of_the_machine(spark):
+    digit, after = hilbert.state_machine(3)
+    grid = spark.range(512).selectExpr("cast(id % 8 as int) as x", "cast(id div 8 % 8 as int) as y", "cast(id div 64 as int) as z")
+    for r in grid.select("*", hilbert.curve_index([F.col(c) for c in "xyz"], 3).alias("at")).collect():
+        state = index = 0
+        for bit in (2, 1, 0):
+            word = (r.x >> bit & 1) << 2 | (r.y >> bit & 1) << 1 | (r.z >> bit & 1)
+            index, state = index << 3 | digit[state << 3 | word], after[state << 3 | word]
+        assert r["at"] == index
+
+
+def test_hilbert_tells_long_texts_apart(spark):
+    """Values that begin alike fall in cells by their whole text, about as many rows in each."""
+    frame = spark.range(4000).selectExpr("concat('https://example.org/', lpad(id % 16, 2, '0')) as url", "id as row", "1 as tie0")
+    cells = Counter((r.url, r.c) for r in hilbert.with_cells(frame, {"c": F.col("url")}, 3).collect())
+    by_cell = defaultdict(set)
+    for url, c in cells:
+        by_cell[c].add(url)
+    assert len(by_cell) == 8 and all(len(v) == 2 for v in by_cell.values()) and all(max(by_cell[c]) < min(by_cell[c + 1]) for c in range(7))
+    out = hilbert.shard(frame, {"u": F.col("url")}, [F.col("row")], 8, bits=3)
+    assert out.columns == ["url", "row", "tie0", "curve", "shard", "slot"] and out.groupBy("shard").agg(F.count_distinct("url").alias("n")).where("n > 2").count() == 0
+
+
 def test_hilbert_prunes(spark):
     grid = spark.range(4096).selectExpr("id % 64 as x", "id div 64 as y", "id")
     out = hilbert.shard(grid, {"cx": F.col("x"), "cy": F.col("y")}, [F.col("id")], 16, bits=5)
@@ -319,7 +342,11 @@ def test_ogg(docs, empty):
         raw = text[r.doc_id]
         padded = raw + b" " * (-len(raw) % 192 if raw else 192)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
-    assert len(found) == len(rows()) and len({r.feature for r in found if text[r.doc_id] == b""}) == 1
+    assert len(found) == len(rows()) and len({r.feature for r in found if text[r.doc_id] == b""}) == 1 and {r.error for r in found} == {None}
+    media = [(r.doc_id, bytes(r.media)) for r in ogg.store(docs).limit(3).collect()]
+    broken = [(1, media[0][1]), (2, None), (3, media[1][1][:-5]), (4, b"no pages"), (5, b"")]
+    back = ogg.features(docs.sparkSession.createDataFrame([(i, 1, m) for i, m in broken], "doc_id long, n_bytes long, media binary")).collect()
+    assert [r.error is None for r in back] == [True, False, False, False, False] and [r.payload_sha256 is None for r in back] == [False, True, True, True, True]
     assert ogg.features(ogg.store(empty)).count() == 0
 
 
@@ -335,6 +362,46 @@ def test_classifiers(spark, docs, empty):
     assert quality_nbsvm.score(empty, quality_nbsvm.fit(empty, labels.limit(0))).count() == 0
 
 
+def brute_lines(frame_rows):
+    from test_pure import brute_spans
+
+    return {i: ",".join(f"{k}:{a}:{b}" for k, a, b in brute_spans(t or "")) for i, t in frame_rows}
+
+
+def test_pii_every_kind(spark):
+    """Planted values of every kind, in short and long texts, against brute force; spans of the network come on top."""
+    values = ["ann.lee+x@mail.example.com", "10.20.30.40", "4111 1111 1111 1111", "+1 (555) 123-4567", "999.1.1.1", "4111 1111 1111 1112", "a@b", "+12 34"]
+    r = random.Random(8)
+    data = [(i, " ".join(r.choice(["then", "water", "é", "\n", v]) for _ in range(30)) + f" {v} end") for i, v in enumerate(values * 3)]
+    data += [(100, ("word " * 20_000) + "10.20.30.40 " + ("more " * 20_000) + "a.b@c.example.org"), (101, None), (102, ""), (102, "")]
+    frame = spark.createDataFrame([(i, t, 1) for i, t in data], "doc_id long, text string, spans int")
+    want = brute_lines(data)
+    found = pii_bilstm.detect(frame, pii_bilstm.fit(frame, batches=4, batch=8)).collect()
+    assert len(found) == len(data)
+    for x in found:
+        base = [s for s in want[x.doc_id].split(",") if s]
+        assert x.base_sha256 == hashlib.sha256(want[x.doc_id].encode()).hexdigest()
+        assert [x.n_email, x.n_ip, x.n_card, x.n_phone] == [sum(s.startswith(k) for s in base) for k in pii_bilstm.KINDS]
+        assert set(base) <= set(x.spans.split(",")) and x.n_added == len([s for s in x.spans.split(",") if s]) - len(base)
+
+
+def test_held_out_accuracy(spark):
+    """Language and quality of documents that are kept from learning, on the synthetic tables."""
+    folder = "/root/testdata/sf0.1"
+    if not __import__("os").path.exists(folder):
+        pytest.skip("no synthetic tables here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    held = docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 == 0).select("doc_id", "lang")
+    found = language_id.identify(docs, language_id.fit(docs)).join(held.where("lang is not null"), "doc_id").where("lang_pred != 'und'")
+    right, many = found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count(F.lit(1))).head()
+    assert many > 1000 and right > 0.98
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    scores = quality_nbsvm.score(docs, quality_nbsvm.fit(docs, labels)).join(labels, "doc_id").join(held.select("doc_id"), "doc_id").collect()
+    good, bad = [x.score for x in scores if x.quality == 1], [x.score for x in scores if x.quality == 0]
+    better = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    assert len(good) > 100 and len(bad) > 50 and better > 0.95
+
+
 def test_pii(docs, empty):
     model = pii_bilstm.fit(docs, batches=3, batch=4)
     found = pii_bilstm.detect(docs, model).collect()
