@@ -2,8 +2,10 @@
 
 A text's letters are lower-cased, everything else ends a word. Every n-gram of 1 to 3 characters of a word, its ends
 included, is hashed to a row of the embedding table; the mean of those rows goes through a linear softmax. A temperature
-fitted on documents kept out of training calibrates the probability, and predictions below a threshold fitted on the
-same documents are rejected.
+fitted on documents kept out of training calibrates the probability, and predictions below a threshold are rejected. It is
+fitted on the same documents: on the probabilities of right predictions, of which at most `reject` may fall below it, and on
+those of wrong ones and of the same texts with their alphabet permuted, which stand for languages that were not learned;
+it is no higher than what rejects 99% of these.
 
 Defined results: a null text, an empty text or one without a letter is `und` with score 0 and is rejected. A null
 doc_id counts as fold 0 (never learned from). With no labelled document every text is `und`. Ties of probability go to
@@ -70,6 +72,8 @@ class LanguageModel:
     bits: int
     temperature: float = 1.0
     threshold: float = 0.0
+    #: Shares that the threshold rejects: of right predictions, and of wrong ones and permuted texts.
+    rejected: tuple[float, float] = (0.0, 0.0)
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Mean logits, and the number of n-grams, over the whole of each text."""
@@ -151,11 +155,20 @@ def train(rows: list[tuple[str, str, bool]], *, bits: int = 16, width: int = 16,
         model.temperature = float(min(grid, key=lambda t: -np.log(softmax(scores / t)[np.arange(len(truth)), truth] + 1e-12).mean()))
         p = softmax(scores / model.temperature)
         right = p.argmax(1) == truth
+        strange = softmax(model.logits([permuted(t, rng) for t, _ in held])[0] / model.temperature).max(1)
+        other = np.concatenate([p.max(1)[~right], strange])
         if right.any():
-            model.threshold = float(min(0.5, np.quantile(p.max(1)[right], reject)))
+            model.threshold = float(min(np.quantile(p.max(1)[right], reject), np.nextafter(np.quantile(other, 0.99), 2)))
+            model.rejected = float((p.max(1)[right] < model.threshold).mean()), float((other < model.threshold).mean())
     return model
 
 
+def permuted(text: str, rng: np.random.Generator) -> str:
+    """The text with its letters exchanged for each other: words of the same lengths in no language."""
+    letters = sorted({c for c in text.lower() if c.isalpha()})
+    return text.lower().translate(dict(zip(map(ord, letters), rng.permutation(letters).tolist())))
+
+
 def fit(docs: DataFrame, *, sample: int = 3000, folds: int = 5) -> LanguageModel:
     """Train on about `sample` labelled rows (a documented bound) outside fold 0; fold 1 of them calibrates."""
     small_batches(docs.sparkSession)

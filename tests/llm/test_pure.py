@@ -219,6 +219,8 @@ def test_language_id():
     long = "the thing with " * 150_000  # more than one piece: as good as the same text in one
     assert abs(model.logits([long])[0] - model.logits(["the thing with " * 1000])[0]).max() < 1e-2
     assert language_id.train([]).predict(["a"])[0] == ["und"]
+    assert model.rejected[0] <= 0.05 and model.rejected[1] >= 0.3
+    assert sorted(language_id.permuted("abba Cd", np.random.default_rng(1)).replace(" ", "")) != [] and len(language_id.permuted("abc d", np.random.default_rng(1))) == 5
 
 
 def test_quality():
