@@ -12,10 +12,9 @@ into 12 bands of 4. Every comparison computes the exact weighted Jaccard similar
 more are links, and classes are connected components.
 
 Equal texts are one node from the start. Of each bucket, members are first compared with one leader, of two orders of
-leaders for even and odd bands. Then follow the pairs of a bucket that are in different components: first each member
-outside the leader's component with the member of another one that shares most samples with it, and last all such pairs,
-unless fewer than `AGREE` of their 48 samples agree; of pairs with a similarity of 0.8, a share of 1.3e-05 does. Crowded
-buckets are dealt in pairs of blocks, so no task gets a whole bucket.
+leaders for even and odd bands. Then follow all pairs of a bucket that are in different components, unless fewer than
+`AGREE` of their 48 samples agree; of pairs with a similarity of 0.8, a share of 1.3e-05 does. They are compared where they
+meet, in pairs of blocks of a bucket, so no task gets a whole crowded one and only links that join components leave it.
 
 Defined results: every row is a document, also where doc_ids repeat. Of a class the row with the smallest (doc_id, place)
 stays, a null doc_id first; class_id is its doc_id, or for a null one a negative number from the texts. A null text counts
@@ -39,8 +38,8 @@ from .shingles import counted, mixed
 MOST, _FLUSH = 1 << 20, 1 << 21
 HASHES, ROWS = 48, 4
 THRESHOLD = 0.8
-#: Samples of 48 in which a pair that the leaders left open agrees at least, and the members of a block of such pairs.
-AGREE, BLOCK = 26, 1024
+#: Samples of 48 in which a pair that the leaders left open agrees at least; members of a block of them, and bytes of text.
+AGREE, BLOCK, BYTES = 26, 512, 1 << 23
 
 
 def _gamma_quantiles(bits: int) -> np.ndarray:
@@ -128,6 +127,15 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return low / total if total > 0 else 0.0
 
 
+def similarities(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard similarities of one text and some others, none of them without shingles."""
+    starts = np.cumsum([0] + [len(s) for s, _ in others[:-1]])
+    shingles, weights = np.concatenate([s for s, _ in others]), np.concatenate([w for _, w in others])
+    at = np.minimum(np.searchsorted(one[0], shingles), len(one[0]) - 1)
+    low = np.add.reduceat(np.where(one[0][at] == shingles, np.minimum(one[1][at], weights), 0.0), starts)
+    return low / (one[1].sum() + np.add.reduceat(weights, starts) - low)
+
+
 def frequencies(texts: DataFrame, most: int = MOST) -> Weights:
     """Counts the documents of every shingle; each task adds up parts of its own rows first."""
     small_batches(texts.sparkSession)
@@ -164,7 +172,7 @@ def frequencies(texts: DataFrame, most: int = MOST) -> Weights:
 
 
 def signatures(rows: DataFrame, shared) -> DataFrame:
-    """doc_id, locator, digest, the band hashes (none for texts without words) and a byte of each sample, of every row."""
+    """doc_id, locator, digest, bytes, the band hashes (none for texts without words) and a byte of each sample, of every row."""
 
     def over(batch):
         weights, sampler = shared.value
@@ -174,10 +182,11 @@ def signatures(rows: DataFrame, shared) -> DataFrame:
             samples = sampler.sample(shingles, weights.of(shingles, times)) if len(shingles) else np.zeros(0, np.uint64)
             out.append(sampler.banded(samples) if len(shingles) else [])
             marks.append(samples.astype(np.uint8).tobytes())
-        yield {"doc_id": batch.column("doc_id"), "locator": batch.column("locator"), "digest": batch.column("digest"), "bands": pa.array(out, pa.list_(pa.int64())), "marks": pa.array(marks, pa.binary())}
+        yield {"doc_id": batch.column("doc_id"), "locator": batch.column("locator"), "digest": batch.column("digest"), "size": batch.column("size"), "bands": pa.array(out, pa.list_(pa.int64())), "marks": pa.array(marks, pa.binary())}
 
     digest = F.md5(F.col("text").cast("binary")).alias("digest")
-    return arrow_map(rows.select("doc_id", "locator", digest, "text"), over, "doc_id long, locator struct<file:string,at:long>, digest string, bands array<long>, marks binary")
+    size = F.octet_length("text").cast("long").alias("size")
+    return arrow_map(rows.select("doc_id", "locator", digest, size, "text"), over, "doc_id long, locator struct<file:string,at:long>, digest string, size long, bands array<long>, marks binary")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
@@ -214,7 +223,7 @@ def near_rows(held: DataFrame, *, threshold: float, sampler: Sampler, most: int)
     with passing(spark):
         shared = spark.sparkContext.broadcast((frequencies(rows, most), sampler))
         signed = stored(signatures(rows, shared), "signatures", lasting=True)
-        firsts = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "locator")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+        firsts = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "locator")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
         nodes = stored(firsts.withColumn("node", F.monotonically_increasing_id()), "nodes")
         labels = linked(rows, nodes, shared, threshold)
         parts = nodes.join(labels, "node", "left").select("digest", "first", "copies", F.coalesce("component", "node").alias("component"))
@@ -229,68 +238,90 @@ def near_rows(held: DataFrame, *, threshold: float, sampler: Sampler, most: int)
 
 def linked(rows: DataFrame, nodes: DataFrame, shared, threshold: float) -> DataFrame:
     """node, component of every node with a link."""
-    buckets = stored(nodes.select("node", F.posexplode("bands").alias("band", "key")), "buckets")
+    buckets = stored(nodes.select("node", "size", F.posexplode("bands").alias("band", "key")), "buckets")
     first = F.min_by("node", F.xxhash64(F.col("band") % 2, "node")).alias("leader")
     leaders = stored(buckets.groupBy("key").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "leader"), "leaders")
-    members = stored(buckets.join(leaders, "key").select("key", "leader", "node"), "members")
+    members = stored(buckets.join(leaders, "key").select("key", "leader", "node", "size"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", F.col("first.locator").alias("locator")), "node")
     texts = stored(matched(rows.select("locator", "text"), "locator", stored(wanted, "wanted")).select("node", "text"), "candidates")
-    done = stored(compared(stored(distinct_pairs(members.select(F.col("node").alias("x"), F.col("leader").alias("y"))), "pairs"), texts, shared), "compared")
-    labels = components(done.where(F.col("similarity") >= threshold))
-    for best in (True, False):
-        more = open_pairs(members, labels, nodes, threshold, shared.value[1], best)
-        more = stored(more.join(done.select("a", "b"), ["a", "b"], "left_anti"), "more")
-        if not more.head(1):
-            continue
-        again = stored(compared(more, texts, shared), "compared")
-        done = done.union(again)
-        if again.where(F.col("similarity") >= threshold).head(1):
-            labels = components(done.where(F.col("similarity") >= threshold))
-    return labels
+    pairs = stored(distinct_pairs(members.select(F.col("node").alias("x"), F.col("leader").alias("y"))), "pairs")
+    links = stored(compared(pairs, texts, shared).where(F.col("similarity") >= threshold).select("a", "b"), "links")
+    labels = components(links)
+    more = stored(open_links(members, labels, nodes, texts, shared, threshold), "more")
+    return components(links.union(more)) if more.head(1) else labels
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float, sampler: Sampler, best: bool) -> DataFrame:
-    """a, b: pairs of a bucket's members that are in different components and agree in enough samples.
+def open_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
+    """a, b: links between members of a bucket that are in different components, enough of them to join what they join.
 
-    Of every such pair one is outside the leader's component. These `seekers` are met with all members: blocks of both are
-    paired, so a group of rows has about 2 * BLOCK at most. With `best` a seeker gives one pair of each group."""
-    at = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), (F.col("node") == F.col("leader")).alias("leads"))
+    Of every pair to be compared one is outside the leader's component. These `seekers` are met with all members: blocks
+    of both are paired, and a cell of two blocks has about 2 * BLOCK rows and 2 * BYTES of text. A cell compares its
+    pairs where they stand and gives only links that join two components, fewer than it has rows."""
+    at = members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"), (F.col("node") == F.col("leader")).alias("leads"))
     at = stored(at, "at")
     tops = at.where("leads").select("key", F.col("component").alias("top"))
-    at = stored(at.join(tops, "key").select("key", "node", "component", (F.col("component") != F.col("top")).alias("seeks")), "sides")
-    few = lambda n: F.ceil(n / BLOCK).cast("long")
-    sizes = at.groupBy("key").agg(few(F.count(F.lit(1))).alias("blocks"), few(F.count_if("seeks")).alias("seeking")).where("seeking > 0")
-    held = stored(at.join(stored(sizes, "open"), "key").join(nodes.select("node", "marks"), "node"), "open")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    what = F.struct("node", "component", "seeks", "marks").alias("m")
-    found = held.select("key", own("blocks").alias("i"), every("seeking").alias("j"), F.lit(False).alias("asks"), what)
-    asking = held.where("seeks").select("key", every("blocks").alias("i"), own("seeking").alias("j"), F.lit(True).alias("asks"), what)
-    groups = found.union(asking).groupBy("key", "i", "j").agg(F.collect_list(F.struct("asks", "m")).alias("rows"))
-    least = min(AGREE / HASHES, threshold - 0.25) * sampler.hashes
-
-    def over(batch):
-        for group in batch.column("rows"):
-            asks, m = group.values.flatten()
-            asks = asks.to_numpy(zero_copy_only=False)
-            node, component, seeks, marks = m.flatten()
-            node, component, seeks = node.to_numpy(), component.to_numpy(), seeks.to_numpy(zero_copy_only=False)
-            marks = np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(len(node), -1)
-            to = np.flatnonzero(~asks)
-            x, y = [], []
-            for k in np.flatnonzero(asks):
-                agree = (marks[to] == marks[k]).sum(1)
-                agree[component[to] == component[k]] = 0
-                if best:
-                    hit = to[[agree.argmax()]] if len(to) and agree.max() >= least else to[:0]
-                else:  # two seekers meet twice
-                    hit = to[(agree >= least) & (~seeks[to] | (node[to] > node[k]))]
-                x.append(np.full(len(hit), node[k]))
-                y.append(node[hit])
-            if x:
-                yield {"x": pa.array(np.concatenate(x), pa.int64()), "y": pa.array(np.concatenate(y), pa.int64())}
-
-    return distinct_pairs(arrow_map(groups.select("rows"), over, "x long, y long"))
+    at = stored(at.join(tops, "key").select("key", "node", "size", "component", (F.col("component") != F.col("top")).alias("seeks")), "sides")
+    few = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BYTES)).cast("long")
+    seeking = few(F.count_if("seeks"), F.sum(F.when(F.col("seeks"), F.col("size")).otherwise(0)))
+    sizes = at.groupBy("key").agg(few(F.count(F.lit(1)), F.sum("size")).alias("blocks"), seeking.alias("seeking")).where("seeking > 0")
+    held = at.drop("size").join(stored(sizes, "open"), "key").join(nodes.select("node", "bands", "marks"), "node").join(texts, "node")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own_i, own_j = (F.pmod(F.xxhash64("node"), F.col(n)) for n in ("blocks", "seeking"))
+    cell = lambda i, j, found, asks: F.struct(i.alias("i"), j.alias("j"), found.alias("found"), asks.alias("asks"))
+    found = F.transform(upto("seeking"), lambda j: cell(own_i, j, F.lit(True), F.col("seeks") & (j == own_j)))
+    asking = F.transform(F.filter(upto("blocks"), lambda i: F.col("seeks") & (i != own_i)), lambda i: cell(i, own_j, F.lit(False), F.lit(True)))
+    cells = held.select("key", F.explode(F.concat(found, asking)).alias("cell"), "node", "component", "seeks", "bands", "marks", "text")
+    cells = cells.select("key", "cell.*", "node", "component", "seeks", "bands", "marks", "text")
+    small_batches(cells.sparkSession)
+    least = min(AGREE / HASHES, threshold - 0.25) * shared.value[1].hashes
+
+    def run(batches):
+        group, name = [], None
+        for batch in batches:
+            names = list(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j"))))
+            edges = [k for k in range(len(names)) if not k or names[k] != names[k - 1]]
+            for start, end in zip(edges, [*edges[1:], len(names)]):
+                if names[start] != name and group:
+                    yield joining(pa.Table.from_batches(group), shared.value[0], least, threshold)
+                    group = []
+                name = names[start]
+                group.append(batch.slice(start, end - start))
+        if group:
+            yield joining(pa.Table.from_batches(group), shared.value[0], least, threshold)
+
+    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def joining(cell: pa.Table, weights: Weights, least: float, threshold: float) -> pa.RecordBatch:
+    """The links of a cell that join components, of pairs that meet in no earlier band and agree in `least` samples."""
+    node, component = cell["node"].to_numpy(), cell["component"].to_numpy()
+    found, asks, seeks = (cell[c].to_numpy() for c in ("found", "asks", "seeks"))
+    marks = np.frombuffer(b"".join(cell["marks"].to_pylist()), np.uint8).reshape(len(node), -1)
+    bands = cell["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    band = int(np.flatnonzero(bands[0] == cell["key"][0].as_py())[0])
+    root = np.unique(component, return_inverse=True)[1]
+    to, read, x, y = np.flatnonzero(found), {}, [], []
+
+    def weighted(k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in read:
+            shingles, times = counted(cell["text"][k].as_py())
+            read[k] = shingles, weights.of(shingles, times)
+        return read[k]
+
+    for k in np.flatnonzero(asks).tolist():
+        hit = to[(root[to] != root[k]) & (~seeks[to] | (node[to] > node[k]))]  # two seekers meet twice
+        hit = hit[(marks[hit] == marks[k]).sum(1) >= least]
+        hit = hit[~(bands[hit, :band] == bands[k, :band]).any(1)]
+        if not len(hit):
+            continue
+        near = similarities(weighted(k), [weighted(t) for t in hit.tolist()]) >= threshold
+        for t in hit[near].tolist():
+            if root[t] != root[k]:
+                root[root == root[t]] = root[k]
+                x.append(min(node[k], node[t]))
+                y.append(max(node[k], node[t]))
+    return pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
 
 def near_classes(docs: DataFrame, *, threshold: float = THRESHOLD, sampler: Sampler | None = None, most: int = MOST) -> DataFrame:

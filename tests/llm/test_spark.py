@@ -216,8 +216,10 @@ def test_near_dedup_goes_by_row(spark):
     assert {r["__node"] for r in kept.collect()} == {7}
 
 
-def test_near_dedup_family_of_pairs(spark):
-    """Near pairs on a common core share buckets with all of the family, and are found all the same."""
+@pytest.mark.parametrize("block", [minhash_icws.BLOCK, 7])
+def test_near_dedup_family_of_pairs(spark, monkeypatch, block):
+    """Near pairs on a common core share buckets with all of the family, and are found all the same, in many blocks too."""
+    monkeypatch.setattr(minhash_icws, "BLOCK", block)
     core = [f"core{k}" for k in range(300)]
     text = lambda i: " ".join([*core, *[f"pair{i // 2}x{k}" for k in range(9)], *[f"own{i}x{k}" for k in range(1)]])
     data = [(i, text(i)) for i in range(120)]
