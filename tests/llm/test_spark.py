@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +249,31 @@ def test_backoff_whole(docs, empty, order):
     assert backoff_lm.score(empty, order=order).count() == 0
 
 
+def test_backoff_reads_texts_once_a_round(spark, monkeypatch):
+    """N-grams of all texts are made once a round, and of a sample besides; which names it finds changes no score."""
+    pick = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(k)}" for k in pick.zipf(1.3, n) % 400) for n in [60] * 300 + [12_000]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    split = [["<s>", *t.split()] for t in texts]
+    counts = Counter(tuple(t[j - k + 1 : j + 1]) for t in split for k in (1, 2, 3) for j in range(k - 1, len(t)))
+    grams = [[tuple(t[max(0, j - 2) : j + 1]) for j in range(1, len(t))] for t in split]
+    want = [math.log(0.4) + sum(math.log(counts[g] / counts[g[:-1]]) for g in of) for of in grams]
+    made, grams_of = spark.sparkContext.accumulator(0), backoff_lm.grams_of
+
+    def counted(texts, order):
+        g = grams_of(texts, order)
+        made.add(len(g.words))
+        return g
+
+    monkeypatch.setattr(backoff_lm, "grams_of", counted)
+    monkeypatch.setattr(backoff_lm, "SAMPLE", 20_000, raising=False)
+    monkeypatch.setattr(backoff_lm, "LONG", 1_000, raising=False)
+    found = {r.doc_id: r.log_score for r in backoff_lm.score(frame, heavy_share=1e-3).collect()}
+    words = sum(len(of) for of in grams)
+    assert len(found) == len(texts) and all(abs(found[i] - w) < 1e-6 * (1 + abs(w)) for i, w in enumerate(want))
+    assert 2 * words < made.value < 3 * words
+
+
 def test_mixing(docs, empty, tmp_path):
     found = mixing.mix_counts(docs).collect()
     assert len(found) == len(rows()) and {(r.doc_id, r.taken) for r in found} == {(r.doc_id, r.taken) for r in mixing.mix_counts(docs).collect()}
